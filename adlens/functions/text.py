@@ -59,9 +59,8 @@ def lookup(entries: dict[str, str], key: Column) -> Column:
 
 def undo_mojibake(c: Column) -> Column:
     suspicious = F.contains(c, F.lit("Ã")) | F.contains(c, F.lit("â"))
-    pairs = F.array(
-        *[F.struct(F.lit(broken).alias("broken"), F.lit(good).alias("good")) for broken, good in fv.MOJIBAKE.items()]
-    )
+    listed = ", ".join(f"named_struct('broken', '{b}', 'good', '{g}')" for b, g in fv.MOJIBAKE.items())
+    pairs = F.expr(f"array({listed})")
     fixed = F.aggregate(pairs, c, lambda text, pair: F.replace(text, pair["broken"], pair["good"]))
     return F.when(suspicious, fixed).otherwise(c)
 
@@ -97,6 +96,8 @@ def accent_tables() -> tuple[str, str, dict[str, str]]:
         if 0xD800 <= code <= 0xDFFF:
             continue
         ch = chr(code)
+        if not unicodedata.decomposition(ch) and not unicodedata.combining(ch):
+            continue
         bare = "".join(
             part for part in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(part)
         )

@@ -29,11 +29,16 @@ def plausible(current_year: int) -> Column:
 
 
 def trim_extremes(listings: DataFrame, probs: tuple[float, float] = fv.PRICE_TRIM) -> DataFrame:
-    """Rows whose price lies between two quantiles, both included."""
-    bounds = exact_quantiles(listings, [], TARGET, list(probs), "_bounds")
-    low = bounds.select(F.col("_bounds")[0]).scalar()
-    high = bounds.select(F.col("_bounds")[1]).scalar()
-    return listings.where((F.col(TARGET) >= low) & (F.col(TARGET) <= high))
+    """Rows whose price lies between two quantiles, both included.
+
+    The two bounds come to the driver, so that the filter reaches the scan as constants.
+    Give a stored table: the bounds take two passes over its price column.
+    """
+    bounds = exact_quantiles(listings, [], TARGET, list(probs), "bounds").first()
+    if bounds is None:
+        return listings.where(F.lit(False))
+    low, high = bounds.bounds
+    return listings.where(F.col(TARGET).between(low, high))
 
 
 def clean(listings: DataFrame, current_year: int) -> DataFrame:

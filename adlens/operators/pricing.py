@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from adlens import fixed_values as fv
 from adlens.functions.enums import ensemble_method
-from adlens.operators.quantiles import bin_number, equal_frequency_edges, exact_quantiles
+from adlens.operators.quantiles import bin_number, quantile_edges
 from adlens.schemas import ESTIMATE
 
 VOTING = fv.VOTING_MODEL
@@ -179,13 +179,10 @@ def worst_first(predictions: DataFrame) -> DataFrame:
 
 def residual_profile(predictions: DataFrame, bands: int = fv.TARGET_BINS) -> DataFrame:
     """Spread of actual minus predicted, per model and equal-frequency price band."""
-    probs = [i / bands for i in range(bands + 1)]
-    edges = exact_quantiles(predictions, [], ACTUAL, probs, "q").select(equal_frequency_edges(F.col("q")))
-    rows = predictions.withColumn("_edges", edges.scalar()).withColumns(
-        {
-            "price_band": bin_number(F.col(ACTUAL), F.col("_edges")).cast("bigint"),
-            "residual": F.col(ACTUAL) - F.col(PREDICTED),
-        }
+    edges = quantile_edges(predictions, ACTUAL, bands)
+    band = bin_number(F.col(ACTUAL), F.array(*[F.lit(e) for e in edges]).cast("array<double>"))
+    rows = predictions.withColumns(
+        {"price_band": band.cast("bigint"), "residual": F.col(ACTUAL) - F.col(PREDICTED)}
     )
     return rows.groupBy("model", "price_band").agg(
         F.count(F.lit(1)).alias("rows"),

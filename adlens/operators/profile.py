@@ -36,26 +36,14 @@ def correlation_matrix(frame: DataFrame, columns: list[str] | None = None) -> Da
 
 def histogram(frame: DataFrame, column: str = TARGET, bins: int = 30) -> DataFrame:
     """Equal-width bins between the smallest and the largest value; the last bin is closed."""
-    spread = frame.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
-    lo, hi = spread.select("lo").scalar(), spread.select("hi").scalar()
-    marked = frame.where(F.col(column).isNotNull()).select(
-        F.col(column).cast("double").alias("v"), lo.cast("double").alias("lo"), hi.cast("double").alias("hi")
-    )
-    width = (F.col("hi") - F.col("lo")) / bins
-    number = F.when(
-        F.col("hi") > F.col("lo"),
-        F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1).cast("bigint")),
-    ).otherwise(F.lit(0).cast("bigint"))
-    return (
-        marked.select(number.alias("bin"), "lo", "hi")
-        .groupBy("bin")
-        .agg(F.count(F.lit(1)).alias("rows"), F.max("lo").alias("lo"), F.max("hi").alias("hi"))
-        .select(
-            "bin",
-            (F.col("lo") + F.col("bin") * width).alias("bin_start"),
-            (F.col("lo") + (F.col("bin") + 1) * width).alias("bin_end"),
-            "rows",
-        )
+    spread = frame.agg(F.min(column).cast("double").alias("lo"), F.max(column).cast("double").alias("hi")).first()
+    lo, hi = F.lit(spread.lo).cast("double"), F.lit(spread.hi).cast("double")
+    width = (hi - lo) / bins
+    place = F.floor((F.col(column).cast("double") - lo) / width)
+    number = F.when(hi > lo, F.least(place, F.lit(bins - 1).cast("bigint"))).otherwise(F.lit(0).cast("bigint"))
+    counted = frame.where(F.col(column).isNotNull()).groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("rows"))
+    return counted.select(
+        "bin", (lo + F.col("bin") * width).alias("bin_start"), (lo + (F.col("bin") + 1) * width).alias("bin_end"), "rows"
     )
 
 

@@ -35,9 +35,10 @@ def exact_quantiles(
         marked = data.join(sketch.select(*groups, "_edges"), groups)
         edge = lambda i: F.col("_edges")[i]
     else:
-        edges = sketch.select("_edges").scalar()
-        marked = data.withColumn("_edges", edges)
-        edge = lambda i: F.col("_edges")[i]
+        # one row: two numbers per quantile
+        edges = sketch.first()._edges or [0.0] * (2 * len(probs))
+        marked = data
+        edge = lambda i: F.lit(float(edges[i]))
 
     v = F.col("_v")
     inside = F.lit(False)
@@ -96,6 +97,12 @@ def exact_median(df: DataFrame, groups: list[str], value: str, name: str = "medi
     return found.select(*groups, "n", F.col("_q")[0].alias(name))
 
 
+def quantile_edges(df: DataFrame, value: str, bins: int) -> list[float]:
+    """Edges of equal-frequency bins over a whole table: quantiles without repeats."""
+    row = exact_quantiles(df, [], value, [i / bins for i in range(bins + 1)], "q").first()
+    return sorted(set(row.q)) if row is not None else []
+
+
 def bin_number(value: Column, edges: Column) -> Column:
     """Right-closed bin of a value between ascending edges, 0 for the first; NULL outside."""
     inner = F.slice(edges, 2, F.greatest(F.size(edges) - 2, F.lit(0)))

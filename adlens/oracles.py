@@ -222,7 +222,7 @@ def _cramers() -> str:
 def _correlations() -> str:
     return " UNION ALL ".join(
         f"SELECT '{a}' AS left_column, '{b}' AS right_column, "
-        + ("CAST(1 AS DOUBLE)" if a == b else f"round(corr({min(a, b, key=_CORRELATED.index)}, {max(a, b, key=_CORRELATED.index)}), 8)")
+        + ("CAST(max(1) AS DOUBLE)" if a == b else f"round(corr({min(a, b, key=_CORRELATED.index)}, {max(a, b, key=_CORRELATED.index)}), 8)")
         + " AS correlation FROM frame"
         for a in _CORRELATED for b in _CORRELATED
     )

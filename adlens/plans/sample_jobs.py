@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 
 from adlens import fixed_values as fv
 from adlens.functions import enums, keys, numbers, text, urls
-from adlens.operators import cleaning, dedupe, lookup, pricing, profile, similar, splits
+from adlens.operators import cleaning, dedupe, lookup, markup, pricing, profile, similar, splits
 from adlens.operators import prepare as prep
 from adlens.operators.normalize import normalize
 from adlens.operators.quantiles import exact_quantiles
 from adlens.operators.significance import contingency, cramers_table, pearson_table, significance_table
 from adlens.plans.scoring import price_reports
 from adlens.schemas import LISTING_COLUMNS
-from adlens.session import checkpoint_folder
+from adlens.session import checkpoint_folder, cut_lineage
 from adlens.sources import history as hist
 from adlens.sources.sample_tables import POSITION, raw_listings, spread, table
 
@@ -45,10 +45,21 @@ def listings(spark: SparkSession, folder: str, coarse: bool = False) -> DataFram
     return normalize(raw_listings(spark, folder, coarse), keep=[POSITION])
 
 
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
 def best(spark: SparkSession, folder: str) -> DataFrame:
-    """Listings without exact copies."""
-    kept = dedupe.keep_best_exact(listings(spark, folder), POSITION)
-    return kept.select(*LISTING_COLUMNS, dedupe.FIRST_SEEN)
+    """Listings without exact copies, as a stored table.
+
+    Everything after the export reads this table, as it would in production; it is written
+    once per application and folder, next to the checkpoints. The export itself is the job
+    ``dedupe_exact``, which never reads it.
+    """
+    name = (spark.sparkContext.applicationId, folder)
+    if name not in _STORED:
+        kept = dedupe.keep_best_exact(listings(spark, folder), POSITION)
+        _STORED[name] = cut_lineage(kept.select(*LISTING_COLUMNS, dedupe.FIRST_SEEN))
+    return _STORED[name]
 
 
 def frame(spark: SparkSession, folder: str) -> DataFrame:
@@ -266,9 +277,7 @@ def candidate_pools(spark, folder):
 
 
 def similar_topk(spark, folder):
-    from adlens.session import cut_lineage
-
-    data = cut_lineage(best(spark, folder).select(*LISTING_COLUMNS))
+    data = best(spark, folder).drop(dedupe.FIRST_SEEN)
     found = similar.find_similar(data, data, limit=5)
     return found.select(
         "query_key", "position", "similar_key", "title", "url", "price_eur", "year", "mileage_km", "fuel_type",
@@ -286,8 +295,8 @@ def _with_means(spark, folder) -> DataFrame:
     rows = frame(spark, folder)
     for name, by in _MEANS.items():
         rows = rows.join(rows.groupBy(*by).agg(F.avg("price_eur").alias(name)), by)
-    overall = rows.select(F.avg("price_eur")).scalar()
-    return rows.withColumn(fv.VOTING_MODEL, overall)
+    overall = frame(spark, folder).select(F.avg("price_eur")).first()[0]
+    return rows.withColumn(fv.VOTING_MODEL, F.lit(overall))
 
 
 def predictions(spark, folder) -> DataFrame:
@@ -474,10 +483,8 @@ def url_keys(spark, folder):
 
 
 def page_titles(spark, folder):
-    from adlens.operators.markup import page_title
-
     p = spread(table(spark, folder, "pages"))
-    return p.select("page_id", page_title(F.col("html")).alias("title"))
+    return p.select("page_id", markup.page_title(F.col("html")).alias("title"))
 
 
 def page_text(spark, folder):
@@ -486,17 +493,13 @@ def page_text(spark, folder):
 
 
 def page_frontier(spark, folder):
-    from adlens.operators.markup import page_frontier as frontier
-
     p = table(spark, folder, "pages").select("page_id", "url")
-    return frontier(p, 4, "pageNumber").select("page_id", F.col("page").cast("bigint").alias("page"), "page_url")
+    return markup.page_frontier(p, 4, "pageNumber").select("page_id", F.col("page").cast("bigint").alias("page"), "page_url")
 
 
 def search_frontier(spark, folder):
-    from adlens.operators.markup import page_frontier as frontier
-
     p = table(spark, folder, "pages").select("page_id", "url")
-    return frontier(p, 3, "page").select("page_id", F.col("page").cast("bigint").alias("page"), "page_url")
+    return markup.page_frontier(p, 3, "page").select("page_id", F.col("page").cast("bigint").alias("page"), "page_url")
 
 
 def site_of_urls(spark, folder):
