@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from adlens import fixed_values as fv
 from adlens.functions.enums import ensemble_method
+from adlens.functions.text import bind
 from adlens.operators.quantiles import bin_number, quantile_edges
 from adlens.schemas import ESTIMATE
 
@@ -15,16 +16,18 @@ VOTING = fv.VOTING_MODEL
 
 def middle(values: Column) -> Column:
     """Median of an array of numbers."""
-    ordered = F.array_sort(values)
-    n = F.size(ordered)
-    low = F.get(ordered, F.floor((n - 1) / 2).cast("int"))
-    high = F.get(ordered, F.floor(n / 2).cast("int"))
-    return F.when(n > 0, (low + high) / 2.0)
+
+    def read(ordered: Column) -> Column:
+        n = F.size(ordered)
+        low = F.get(ordered, F.floor((n - 1) / 2).cast("int"))
+        high = F.get(ordered, F.floor(n / 2).cast("int"))
+        return F.when(n > 0, (low + high) / 2.0)
+
+    return bind(F.array_sort(values), read)
 
 
 def median_deviation(values: Column) -> Column:
-    center = middle(values)
-    return middle(F.transform(values, lambda v: F.abs(v - center)))
+    return bind(values, lambda v: bind(middle(v), lambda center: middle(F.transform(v, lambda x: F.abs(x - center)))))
 
 
 def _total(values: Column) -> Column:
@@ -35,7 +38,7 @@ def estimate(fields: dict[str, Column]) -> Column:
     """One element of the estimates array; fields not given are NULL."""
     return F.struct(
         *[
-            F.coalesce(fields.get(f.name, F.lit(None)), F.lit(None)).cast(f.dataType).alias(f.name)
+            fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
             for f in ESTIMATE.fields
         ]
     )
@@ -60,22 +63,11 @@ def combine_estimates(df: DataFrame, method: str | None = None, estimates: str =
     contains the others.
     """
     agreement = ensemble_method(method) == "inverse_mae_with_agreement"
-    all_estimates = F.col(estimates)
+    column = F.col(estimates)
 
     def counts(e: Column) -> Column:
         return (e["model"] != VOTING) & F.coalesce(e["predicted_price_eur"] > 0, F.lit(False))
 
-    usable = F.filter(all_estimates, counts)
-    with_center = df.withColumn("_prices", F.transform(usable, lambda e: e["predicted_price_eur"]))
-    scaled = with_center.withColumns(
-        {"_center": middle(F.col("_prices")), "_spread": median_deviation(F.col("_prices"))}
-    ).withColumn("_scale", F.greatest(F.col("_spread") * 2.5, F.col("_center") * 0.15, F.lit(1.0)))
-
-    def closeness(e: Column) -> Column:
-        if not agreement:
-            return F.lit(1.0)
-        return F.exp(-F.abs(e["predicted_price_eur"] - F.col("_center")) / F.col("_scale"))
-
     def skill(e: Column) -> Column:
         return (
             F.when(e["mae"] > 0, F.lit(1.0) / e["mae"])
@@ -83,33 +75,73 @@ def combine_estimates(df: DataFrame, method: str | None = None, estimates: str =
             .otherwise(F.lit(1.0))
         )
 
-    weighted = scaled.withColumn("_weights", F.transform(usable, lambda e: skill(e) * closeness(e)))
-    summed = weighted.withColumn("_total", _total(F.col("_weights")))
-    worth = F.zip_with(F.col("_prices"), F.col("_weights"), lambda p, w: p * w)
-    first_known = F.get(
-        F.filter(F.transform(all_estimates, lambda e: e["predicted_price_eur"]), lambda p: p.isNotNull()), F.lit(0)
-    )
-    final = (
-        F.when(F.coalesce(F.size("_prices"), F.lit(0)) <= 0, F.coalesce(first_known, F.lit(0.0)))
-        .when(F.col("_total") > 0, _total(worth) / F.col("_total"))
-        .otherwise(_total(F.col("_prices")) / F.size("_prices"))
-    )
+    def closeness(e: Column, around: Column) -> Column:
+        if not agreement:
+            return F.lit(1.0)
+        return F.exp(-F.abs(e["predicted_price_eur"] - around["center"]) / around["scale"])
+
+    def center_and_scale(prices: Column) -> Column:
+        return bind(
+            F.struct(middle(prices).alias("center"), median_deviation(prices).alias("spread")),
+            lambda s: F.struct(
+                s["center"].alias("center"),
+                F.greatest(s["spread"] * 2.5, s["center"] * 0.15, F.lit(1.0)).alias("scale"),
+            ),
+        )
+
+    def weigh(e: Column, around: Column) -> Column:
+        """The estimate with its raw weight; NULL weight if it does not count."""
+        near = closeness(e, around)
+        return F.struct(
+            e.alias("e"),
+            F.when(counts(e), near).alias("near"),
+            F.when(counts(e), skill(e) * near).alias("weight"),
+        )
 
-    def annotate(e: Column) -> Column:
-        weight = F.when(counts(e) & (F.col("_total") > 0), skill(e) * closeness(e) / F.col("_total"))
+    def annotate(w: Column, total: Column) -> Column:
+        e = w["e"]
         voting = e["model"] == VOTING
         fields = {f.name: e[f.name] for f in ESTIMATE.fields}
-        fields["ensemble_weight"] = weight
-        fields["agreement_weight"] = F.when(counts(e), closeness(e)) if agreement else F.lit(None)
+        fields["ensemble_weight"] = F.when(total > 0, w["weight"] / total)
+        fields["agreement_weight"] = w["near"] if agreement else F.lit(None)
         fields["excluded_from_weighted_average"] = F.when(voting, F.lit(True))
         fields["exclusion_reason"] = F.when(voting, F.lit("prevents_double_counting"))
         return estimate(fields)
 
-    return (
-        summed.withColumn("predicted_price_eur", final)
-        .withColumn(estimates, F.transform(all_estimates, annotate))
-        .drop("_prices", "_center", "_spread", "_scale", "_weights", "_total")
+    def settle(weighed: Column) -> Column:
+        """Final price and annotated estimates out of all weighed estimates."""
+        used = F.filter(weighed, lambda w: w["weight"].isNotNull())
+        sums = F.struct(
+            F.size(used).alias("n"),
+            _total(F.transform(used, lambda w: w["weight"])).alias("weight"),
+            _total(F.transform(used, lambda w: w["weight"] * w["e"]["predicted_price_eur"])).alias("worth"),
+            _total(F.transform(used, lambda w: w["e"]["predicted_price_eur"])).alias("plain"),
+            F.get(
+                F.filter(F.transform(weighed, lambda w: w["e"]["predicted_price_eur"]), lambda p: p.isNotNull()), F.lit(0)
+            ).alias("first"),
+        )
+        return bind(
+            sums,
+            lambda t: F.struct(
+                F.when(t["n"] <= 0, F.coalesce(t["first"], F.lit(0.0)))
+                .when(t["weight"] > 0, t["worth"] / t["weight"])
+                .otherwise(t["plain"] / t["n"])
+                .alias("price"),
+                F.transform(weighed, lambda w: annotate(w, t["weight"])).alias("estimates"),
+            ),
+        )
+
+    prices = F.transform(F.filter(column, counts), lambda e: e["predicted_price_eur"])
+    result = bind(
+        bind(prices, center_and_scale),
+        lambda around: bind(F.transform(column, lambda e: weigh(e, around)), settle),
     )
+    return df.withColumn("_combined", result).withColumns(
+        {
+            "predicted_price_eur": F.coalesce("_combined.price", F.lit(0.0)),
+            estimates: F.col("_combined.estimates"),
+        }
+    ).drop("_combined")
 
 
 def verdict(actual: Column, predicted: Column, threshold_percent: float = fv.VERDICT_THRESHOLD) -> Column:

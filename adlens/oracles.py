@@ -176,8 +176,8 @@ _LISTING = """source, source_listing_key, listing_id, url, title, make, model, v
 
 
 def _with(steps: list[str], select: str, coarse: bool = False, extra: dict[str, str] | None = None) -> str:
-    parts = [f"{n} AS ({_STEPS['coarse' if coarse and n == 'raw' else n]})" for n in steps]
-    parts += [f"{n} AS ({body})" for n, body in (extra or {}).items()]
+    parts = [f"{n} AS MATERIALIZED ({_STEPS['coarse' if coarse and n == 'raw' else n]})" for n in steps]
+    parts += [f"{n} AS MATERIALIZED ({body})" for n, body in (extra or {}).items()]
     return "WITH " + ",\n".join(parts) + "\n" + select
 
 
