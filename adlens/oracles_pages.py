@@ -1,2 +1,25 @@
-def statements():
-    return {}
+"""SQL for the page jobs: what the pages were built from is what extraction must give back."""
+
+from __future__ import annotations
+
+from adlens.oracles import _raw
+
+
+def _shown(title: str, mileage: str = "mileage_km", fuel: str = "fuel_type", power: str = "power_hp", extra: str = "",
+           make: str = "make", model: str = "model") -> str:
+    return f"""WITH raw AS ({_raw(False)})
+    SELECT CAST(l_partkey AS VARCHAR) || '00' || replace(listing_id, '-', '0') AS listing_id, {title} AS title, {make} AS make,
+      {model} AS model, floor(abs(price_value)) AS price_value, 'EUR' AS currency, year, {mileage} AS mileage_km,
+      {power} AS power_hp, {fuel} AS fuel_type, location_city{extra} FROM raw"""
+
+
+def statements() -> dict[str, str]:
+    plain = "concat_ws(' ', make, model, version)"
+    in_range = "CASE WHEN power_hp BETWEEN 30 AND 900 THEN power_hp END"
+    return {
+        "api_answers": _shown(plain, power=in_range),
+        "search_pages": _shown(plain),
+        "advert_pages": _shown(plain),
+        "detail_pages": _shown("make || ' ' || model || ' & ' || version", power=in_range),
+        "result_cards": _shown(plain, mileage="coalesce(mileage_km, 0)", extra=", 'Autohaus' AS seller_name, 'Guter Preis' AS price_indicator"),
+    }
