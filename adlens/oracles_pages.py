@@ -6,10 +6,10 @@ from adlens.oracles import _raw
 
 
 def _shown(title: str, mileage: str = "mileage_km", fuel: str = "fuel_type", power: str = "power_hp", extra: str = "",
-           make: str = "make", model: str = "model") -> str:
+           price: str = "floor(abs(price_value))") -> str:
     return f"""WITH raw AS ({_raw(False)})
-    SELECT CAST(l_partkey AS VARCHAR) || '00' || replace(listing_id, '-', '0') AS listing_id, {title} AS title, {make} AS make,
-      {model} AS model, floor(abs(price_value)) AS price_value, 'EUR' AS currency, year, {mileage} AS mileage_km,
+    SELECT CAST(l_partkey AS VARCHAR) || '00' || replace(listing_id, '-', '0') AS listing_id, {title} AS title, make,
+      model, {price} AS price_value, CASE WHEN {price} IS NOT NULL THEN 'EUR' END AS currency, year, {mileage} AS mileage_km,
       {power} AS power_hp, {fuel} AS fuel_type, location_city{extra} FROM raw"""
 
 
@@ -21,5 +21,7 @@ def statements() -> dict[str, str]:
         "search_pages": _shown(plain),
         "advert_pages": _shown(plain),
         "detail_pages": _shown("make || ' ' || model || ' & ' || version", power=in_range),
-        "result_cards": _shown(plain, mileage="coalesce(mileage_km, 0)", extra=", 'Autohaus' AS seller_name, 'Guter Preis' AS price_indicator"),
+        "result_cards": _shown(plain, mileage="coalesce(mileage_km, 0)",
+            # a card's price line needs grouped thousands
+            price="CASE WHEN floor(abs(price_value)) >= 1000 THEN floor(abs(price_value)) END", extra=", 'Autohaus' AS seller_name, 'Guter Preis' AS price_indicator"),
     }
