@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 ACCURACY = 10000
 MARGIN = 4.0 / ACCURACY
+SMALL_GROUP = 2 * ACCURACY
 
 
 def _brackets(probs: list[float]) -> list[float]:
@@ -32,16 +33,20 @@ def exact_quantiles(
         F.percentile_approx("_v", _brackets(probs), ACCURACY).alias("_edges"),
     )
     if groups:
-        marked = data.join(sketch.select(*groups, "_edges"), groups)
+        marked = data.join(sketch.select(*groups, "_edges", F.col("n").alias("_rows")), groups)
         edge = lambda i: F.col("_edges")[i]
+        # the margin must span a few ranks, which it does only in groups of some size
+        few = F.col("_rows") <= SMALL_GROUP
     else:
         # one row: two numbers per quantile
-        edges = sketch.first()._edges or [0.0] * (2 * len(probs))
+        known = sketch.first()
+        edges = known._edges or [0.0] * (2 * len(probs))
         marked = data
+        few = F.lit(known.n <= SMALL_GROUP)
         edge = lambda i: F.lit(float(edges[i]))
 
     v = F.col("_v")
-    inside = F.lit(False)
+    inside = few
     below = F.lit(float("-inf"))
     for i in range(len(probs)):
         low, high = edge(2 * i), edge(2 * i + 1)

@@ -48,6 +48,15 @@ def test_quantiles_equal_numpy(spark, hot):
     assert np.allclose(whole.q, np.quantile([v for _, v in rows], probs), rtol=1e-12)
 
 
+@pytest.mark.parametrize("n", [1, 2, 501, 30011])
+def test_quantiles_between_two_ranks(spark, n):
+    df = spark.range(n).select(F.lit("g").alias("g"), ((F.col("id") * 7919) % n).cast("double").alias("v"))
+    probs = [0.19939, 0.5, 0.7501]
+    for groups in ([], ["g"]):
+        row = exact_quantiles(df, groups, "v", probs, "q").first()
+        assert np.allclose(row.q, np.quantile(np.arange(n), probs), rtol=1e-9)
+
+
 def test_tail_probabilities():
     assert abs(chi_square_tail(3.841458820694124, 1) - 0.05) < 1e-9
     assert abs(chi_square_tail(18.307038053275146, 10) - 0.05) < 1e-9
