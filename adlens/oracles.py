@@ -15,7 +15,7 @@ def _slug(x: str) -> str:
 
 def _title(x: str) -> str:
     words = f"regexp_extract_all({x}, '\\p{{L}}+|[^\\p{{L}}]+')"
-    return f"array_to_string(list_transform({words}, lambda w: upper(w[1]) || lower(w[2:])), '')"
+    return f"array_to_string(list_transform({words}, lambda w: CASE WHEN w[1] = 'ß' THEN 'Ss' ELSE upper(w[1]) END || lower(w[2:])), '')"
 
 
 def _raw(coarse: bool) -> str:
