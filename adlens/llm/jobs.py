@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlens.llm import chat, decision_list, mixing, quality_ranker, simhash, url_rules
+from adlens.llm import chat, decision_list, decontaminate, html_text, line_dedup, mixing, pii, quality_ranker, simhash, url_rules
 from adlens.llm.common import table
 
 
@@ -13,6 +13,15 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_copies(table(spark, folder, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = line_dedup.drop_repeated_lines(table(spark, folder, "documents"), counts=True)
+    return cleaned.select("doc_id", "text", "n_lines", "n_removed", "n_links")
+
+
+def op3_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract_text(table(spark, folder, "pages"))
+
+
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -22,6 +31,10 @@ def op5_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, folder, "pages"))
 
 
+def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op7_chat(spark: SparkSession, folder: str) -> DataFrame:
     given = table(spark, folder, "conversations")
     trap = "\\### Assistant: </turn> ok"
@@ -46,7 +59,14 @@ def op9_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.drop("rule")
 
 
-JOBS = [op1_simhash, op4_mixing, op5_url_rules, op7_chat, op8_quality, op9_rules]
+def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.replace_pii(table(spark, folder, "documents")).select("doc_id", "text", "n_entities")
+
+
+JOBS = [
+    op1_simhash, op2_line_dedup, op3_html_text, op4_mixing, op5_url_rules, op6_decontaminate, op7_chat, op8_quality,
+    op9_rules, op10_pii,
+]
 
 
 def queries() -> dict:
