@@ -174,6 +174,21 @@ def find_leaks(
                         F.col("item").alias("item_id"), "first_word", "n_words", "n_equal")
 
 
+def _is_clean(shared):
+    """Function over normalized texts: no item of the block is found."""
+
+    def clean(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        items = Items(shared.value)
+        for column in columns:
+            out = []
+            for value in column:
+                hashes = word_hashes(value.as_py())[1]
+                out.append(not any(items.verify(hashes, i, s) for i, s in items.hits(hashes)))
+            yield pa.array(out, type=pa.bool_())
+
+    return F.arrow_udf(clean, "boolean")
+
+
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no test item is found, with all their columns.
 
@@ -183,16 +198,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     left = docs
     for block in _blocks(benchmark, item_col, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def clean(columns: Iterator[pa.Array], shared=shared) -> Iterator[pa.Array]:
-            items = Items(shared.value)
-            for column in columns:
-                out = []
-                for value in column:
-                    hashes = word_hashes(value.as_py())[1]
-                    out.append(not any(items.verify(hashes, i, s) for i, s in items.hits(hashes)))
-                yield pa.array(out, type=pa.bool_())
-
-        judge = F.arrow_udf(clean, "boolean")
-        left = left.where(judge(normalized(F.col(text_col)).cast("binary")))
+        left = left.where(_is_clean(shared)(normalized(F.col(text_col)).cast("binary")))
     return left

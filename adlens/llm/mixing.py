@@ -104,7 +104,8 @@ def mix(
     with a column made here is left out of them.
     """
     made = ["size", "source_size", "target", "copies", "taken"]
-    carried = [c for c in keep or [] if c.lower() not in {*(m.lower() for m in made), id_col.lower(), "source"}]
+    carried = [c for c in keep or [] if c.lower() not in {*(m.lower() for m in made), id_col.lower()}]
+    carried = list(dict.fromkeys(carried))
     key = F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.col(text_col), F.lit("")))
     marked = docs.select(
         F.col(id_col).alias("id"),

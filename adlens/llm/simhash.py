@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from adlens.llm.common import fresh
 from adlens.llm.components import connected_components
 from adlens.session import cut_lineage
 
@@ -62,17 +63,18 @@ def fingerprint(data: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id`` and ``fp`` (the 64 bits as a signed number) of every row; a NULL text has no words."""
-    # the length keeps texts of a batch few where they are long
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t"))
+    """``id``, ``hash`` (of the text) and ``fp`` (the 64 bits as a signed number) of every row; a NULL text has no words."""
+    rows = docs.select(
+        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t")
+    )
     id_type = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            made = pa.array([fingerprint(x.as_py()) for x in batch.column(1)], type=pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), made], ["id", "fp"])
+            made = pa.array([fingerprint(x.as_py()) for x in batch.column(2)], type=pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], made], ["id", "hash", "fp"])
 
-    return rows.mapInArrow(run, f"id {id_type}, fp bigint")
+    return rows.mapInArrow(run, f"id {id_type}, hash bigint, fp bigint")
 
 
 # ---- statistics of fixed size over all fingerprints
@@ -269,6 +271,18 @@ def links(groups: DataFrame) -> DataFrame:
     return joined.distinct()
 
 
+def _classes(marked: DataFrame) -> DataFrame:
+    """``fp``, ``component`` (the same for linked fingerprints) and ``component_id`` of every fingerprint."""
+    groups = cut_lineage(marked.groupBy("fp").agg(F.min("id").alias("least")))
+    near = connected_components(links(groups), "a", "b")
+    linked = near.join(groups, near["node"] == groups["fp"]).select("fp", "root", "least")
+    roots = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    found = linked.join(roots, "root").select("fp", F.col("root").alias("component"), "component_id")
+    return groups.join(found, "fp", "left").select(
+        "fp", F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "least").alias("component_id")
+    )
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``fingerprint`` (16 hex digits) and ``component_id`` of every row.
 
@@ -279,13 +293,30 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     columns are not looked at. An empty table gives an empty table.
     """
     marked = cut_lineage(fingerprints(docs, id_col, text_col))
-    groups = cut_lineage(marked.groupBy("fp").agg(F.min("id").alias("least")))
-    near = connected_components(links(groups), "a", "b")
-    linked = near.join(groups, near["node"] == groups["fp"]).select("fp", "root", "least")
-    roots = linked.groupBy("root").agg(F.min("least").alias("component"))
-    classes = groups.join(linked.join(roots, "root").select("fp", "component"), "fp", "left").select(
-        "fp", F.coalesce("component", "least").alias("component_id")
-    )
-    return marked.join(classes, "fp").select(
+    return marked.join(_classes(marked), "fp").select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, the one with the smallest id, with all its columns.
+
+    A NULL id comes last; of rows with equal ids the smallest hash of the text decides, and
+    of rows with equal id and text one stays.
+    """
+    marked = cut_lineage(fingerprints(docs, id_col, text_col))
+    rows = marked.join(_classes(marked).select("fp", "component"), "fp")
+    first = rows.groupBy("component", "id", "hash").agg(F.count(F.lit(1)).alias("n"))
+    chosen = first.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "hash", "n")).alias("x"))
+    chosen = cut_lineage(chosen.select("x.id", "x.hash", "x.n"))
+    i, h, n = fresh(docs, "kept_id", "kept_hash", "kept_rows")
+
+    def picked(marks: DataFrame) -> DataFrame:
+        marks = marks.toDF(i, h, n)
+        same = docs[id_col].eqNullSafe(marks[i]) & (F.xxhash64(docs[text_col]) == marks[h])
+        return docs.join(marks, same, "left_semi")
+
+    single = picked(chosen.where("n = 1"))
+    if chosen.where("n > 1").isEmpty():
+        return single
+    return single.unionByName(picked(chosen.where("n > 1")).dropDuplicates([id_col, text_col]))

@@ -15,7 +15,7 @@ FEATURES = ["words", "word_length", "symbols", "dup_lines", "repeats", "upper",
 
 
 def with_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id`` and COUNTS of every row; a NULL text counts as empty.
+    """``id``, ``hash`` (of the text) and COUNTS of every row; a NULL text counts as empty.
 
     ``n_dup_lines``: lines with a word that equal an earlier line. ``n_repeat_words``: words inside a
     window of three words that occurs twice or more in the text, first ones included.
@@ -23,7 +23,7 @@ def with_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     per column keeps the arrays from being built more than once.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("t"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), text.alias("t"))
     rows = rows.withColumn("w", F.regexp_extract_all("t", F.lit(WORD), F.lit(0)))
     rows = rows.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: F.regexp_like(x, F.lit(WORD))))
     w = F.col("w")
@@ -46,6 +46,7 @@ def with_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     total = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda x, y: x + y)
     return rows.select(
         "id",
+        "hash",
         F.size("w").cast("bigint").alias("n_words"),
         total(F.transform("w", F.char_length)).alias("word_chars"),
         F.regexp_count("t", F.lit(SYMBOL)).cast("bigint").alias("n_symbols"),
