@@ -8,10 +8,12 @@ comes earlier, by document and place. Steps:
   order gives the same matches, a good one few candidates). A set's first words by this order
   are its prefix: sets that match share a word of their prefixes.
 * Equal sets become one; its copies are told apart again at the end.
-* Sets meet on prefix words, filtered by their sizes and by the most words they can still
-  share given the places of the word in both; what is left is verified on the whole sets.
-* Where one prefix word has very many sets, they meet on the word and one more word: beyond
-  the prefix of one shared word there is a longer prefix of which two words are shared.
+* Sets meet on prefix words, filtered by their sizes, by the most words they can still share
+  given the places of the word in both, and by a signature: one bit per word, added modulo 2,
+  so that different bits are never more than different words. The rest is verified on the
+  whole sets.
+* A common word is no key by itself. With a prefix that is one word longer, sets that match
+  share two words; if the first of them is common, both together are the key.
 """
 
 from __future__ import annotations
@@ -22,16 +24,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adlens.llm.common import fresh
-from adlens.llm.tokens import mix, word_hashes
+from adlens.llm.tokens import mix, text_groups, word_hashes
 from adlens.session import cut_lineage
 
 SIMILARITY = 0.8
-SLOT_BITS = 16
+SLOT_BITS = 20
 #: steps of the rarity scale per factor of two
 STEPS = 64
+#: words of a slot with more words than this are common
+COMMON = 200_000
 MAP_BITS = 22
-#: a prefix word of more sets is joined together with a second word
-HOT = 2000
+KEY_BITS = 40
 
 
 def _least_overlap(n):
@@ -43,141 +46,156 @@ def _slot(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def rarity_levels(texts: DataFrame) -> np.ndarray:
-    """Level per slot of word hashes, higher is more common. One count per slot comes back."""
+class Lines:
+    """Word sets of the lines of some texts, all lines at once.
+
+    ``text`` and ``number`` of every line with a word, and its ``size``, ``key`` and ``signature``; with
+    ``levels`` the words of a line are ordered by rarity.
+    """
+
+    def __init__(self, texts: list[bytes], levels: np.ndarray | None = None):
+        data = b"\n".join(texts)
+        starts, hashes = word_hashes(data)
+        self.hashes = hashes
+        line = np.cumsum(np.frombuffer(data, dtype=np.uint8) == 10, dtype=np.int32)[starts].astype(np.uint64)
+        rank = np.zeros(len(hashes), dtype=np.uint64) if levels is None else levels[_slot(hashes)].astype(np.uint64)
+        if len(line) and int(line[-1]) >> 20:
+            order = np.lexsort((hashes, rank, line))
+        else:
+            # 20 bits of line, 12 of rarity, 32 of hash; equal words stand side by side
+            order = np.argsort(line << np.uint64(44) | rank << np.uint64(32) | hashes >> np.uint64(32))
+        line, hashes = line[order].astype(np.int64), hashes[order]
+        first = np.ones(len(line), dtype=bool)
+        first[1:] = (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])
+        line, self.words = line[first], hashes[first]
+        edge = np.ones(len(line), dtype=bool)
+        edge[1:] = line[1:] != line[:-1]
+        self.begin = np.flatnonzero(edge)
+        self.size = np.diff(np.append(self.begin, len(line)))
+        starts_of = np.cumsum([0] + [t.count(b"\n") + 1 for t in texts])
+        self.text = np.searchsorted(starts_of, line[self.begin], "right") - 1
+        self.number = line[self.begin] - starts_of[self.text]
+        if len(self.begin):
+            # a sum and a sum of bits modulo 2 do not depend on the order
+            sums = np.add.reduceat(mix(self.words), self.begin)
+            bits = np.uint64(1) << (self.words & np.uint64(63))
+            self.signature = np.bitwise_xor.reduceat(bits, self.begin).view(np.int64)
+        else:
+            sums, self.signature = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self.key = mix(sums + self.size.astype(np.uint64)).view(np.int64)
+
+    def spans(self, lines: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Indices into ``words`` of the first ``lengths`` words of the given lines, and where each line starts."""
+        offsets = np.concatenate([[0], np.cumsum(lengths)])
+        return np.repeat(self.begin[lines] - offsets[:-1], lengths) + np.arange(offsets[-1]), offsets
+
+
+def _new(keys: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Places of the keys that the task has not met yet, once each."""
+    _, first = np.unique(keys, return_index=True)
+    fresh_ones = [i for i in np.sort(first).tolist() if int(keys[i]) not in seen]
+    seen.update(keys[fresh_ones].tolist())
+    return np.array(fresh_ones, dtype=np.int64)
+
+
+def _scan(texts: DataFrame) -> DataFrame:
+    """Two kinds of rows: a line with words (``id``, ``hash``, ``line``, ``key`` of its set), and per task and slot
+    the number of words (``slot``, ``n``)."""
+    names = ["id", "hash", "line", "key", "slot", "n"]
 
     def run(batches):
         total = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+        kinds = None
         for batch in batches:
-            for value in batch.column(0):
-                np.add.at(total, _slot(word_hashes(value.as_py())[1]), 1)
+            kinds = [batch.column(0).type, batch.column(1).type]
+            for first, held in text_groups(batch.column(2)):
+                lines = Lines(held)
+                np.add.at(total, _slot(lines.hashes), 1)
+                n = len(lines.key)
+                at = pa.array(lines.text + first)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).take(at), batch.column(1).take(at), pa.array(lines.number.astype(np.int64)), pa.array(lines.key),
+                    pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
         slot = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], ["slot", "n"])
+        if len(slot):
+            none = [pa.nulls(len(slot), kind) for kind in [*kinds, pa.int64(), pa.int64()]]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(slot), pa.array(total[slot])], names)
 
-    counts = texts.mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.mapInArrow(run, f"id {kind}, hash bigint, line bigint, key bigint, slot bigint, n bigint")
+
+
+def rarity_levels(scanned: DataFrame) -> np.ndarray:
+    """Level per slot of word hashes, higher is more common. One count per slot comes back."""
+    counts = scanned.where("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     levels = np.zeros(1 << SLOT_BITS)
     levels[counts["slot"].to_numpy()] = np.log2(counts["n"].to_numpy()) * STEPS
-    return levels.astype(np.uint16)
+    return np.minimum(levels, 4095).astype(np.uint16)
 
 
-class Lines:
-    """Word sets of the lines of one text, all lines at once."""
+def _pair_keys(words: np.ndarray, common: np.ndarray) -> list[tuple[int, int]]:
+    """(key, place) of all pairs of a common word and another one."""
+    out = {}
+    for i in np.flatnonzero(common).tolist():
+        for j in range(len(words)):
+            if i != j:
+                low, high = sorted((int(words[i]), int(words[j])))
+                key = int(mix(np.array([(low * 3 + high) & (2**64 - 1)], dtype=np.uint64))[0])
+                out[key] = min(i, j)
+    return list(out.items())
 
-    def __init__(self, data: bytes, levels: np.ndarray | None):
-        starts, hashes = word_hashes(data)
-        breaks = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 10)
-        line = np.searchsorted(breaks, starts)
-        if levels is None:
-            order = np.lexsort((hashes, line))
-        else:
-            order = np.lexsort((hashes, levels[_slot(hashes)], line))
-        line, hashes = line[order], hashes[order]
-        if len(line):
-            # a word that occurs twice in a line stands side by side
-            first = np.ones(len(line), dtype=bool)
-            first[1:] = (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])
-            line, hashes = line[first], hashes[first]
-        edge = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, dtype=np.int64)
-        self.number = line[edge]
-        self.begin = edge
-        self.size = np.diff(np.concatenate([edge, [len(line)]])) if len(line) else edge
-        self.words = hashes
-        # the sum of well mixed hashes does not depend on their order
-        sums = np.add.reduceat(mix(hashes), edge) if len(edge) else np.zeros(0, dtype=np.uint64)
-        self.key = mix(sums + self.size.astype(np.uint64)).view(np.int64)
 
-    def taken(self, lines: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The first ``lengths`` words of the given lines, as offsets and values."""
-        offsets = np.concatenate([[0], np.cumsum(lengths)])
-        index = np.repeat(self.begin[lines] - offsets[:-1], lengths) + np.arange(offsets[-1])
-        return offsets, self.words[index].view(np.int64)
-
-
-def _scan(texts: DataFrame, levels: np.ndarray) -> DataFrame:
-    """A row per line with words: ``doc`` (position of its text), ``line``, ``key`` and ``size`` of its set,
-    ``prefix`` once per set and task, else NULL."""
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(levels)
+def _postings(texts: DataFrame, levels: np.ndarray) -> DataFrame:
+    """``word`` (a key to meet on), ``key``, ``signature`` and ``place`` (size and place packed), per set once in a task."""
+    shared = texts.sparkSession.sparkContext.broadcast(levels)
+    limit = int(np.log2(COMMON) * STEPS)
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            for i, value in enumerate(batch.column(batch.num_columns - 1)):
-                lines = Lines(value.as_py(), shared.value)
-                n = len(lines.key)
-                if not n:
-                    continue
-                new = np.zeros(n, dtype=bool)
-                for k, key in enumerate(lines.key.tolist()):
-                    if key not in seen:
-                        seen.add(key)
-                        new[k] = True
+            for _, held in text_groups(batch.column(0)):
+                lines = Lines(held, shared.value)
+                chosen = _new(lines.key, seen)
                 # sets of up to three words match equal sets only
-                chosen = np.flatnonzero(new & (lines.size > 3))
-                # one word more than the prefix, for pairs of words
-                length = lines.size[chosen] - _least_overlap(lines.size[chosen]) + 2
-                counts = np.zeros(n, dtype=np.int64)
-                counts[chosen] = length
-                offsets, words = lines.taken(np.arange(n), counts)
-                at = pa.array(np.full(n, i))
-                yield pa.RecordBatch.from_arrays(
-                    [*[c.take(at) for c in batch.columns[:-1]], pa.array(lines.number), pa.array(lines.key), pa.array(lines.size),
-                     pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(words))],
-                    [*batch.schema.names[:-1], "line", "key", "size", "prefix"])
-
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:-1])
-    return texts.mapInArrow(_together(run), f"{head}, line bigint, key bigint, size bigint, prefix array<bigint>")
-
-
-def _together(run, rows: int = 20_000):
-    """Joins the small batches of ``run`` to larger ones."""
-
-    def joined(batches):
-        held, n = [], 0
-        for batch in run(batches):
-            held.append(batch)
-            n += batch.num_rows
-            if n >= rows:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, n = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-    return joined
-
-
-def _meet(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Pairs of sets that have a key in common and pass the size and position filters."""
-    x = left.select(*on, F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
-    y = right.select(*on, F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"))
-    before = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
-    sizes = F.col("n_a") >= F.col("n_b") * SIMILARITY - 1e-9
-    needed = F.ceil((F.col("n_a") + F.col("n_b")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9)
-    # shared words stand before this one in both sets, or from it on in both
-    most = F.least("at_a", "at_b") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    return x.join(y, on).where(before & sizes & (most >= needed)).select("a", "b")
-
-
-def _candidates(lines: DataFrame) -> DataFrame:
+                chosen = chosen[lines.size[chosen] > 3]
+                lengths = lines.size[chosen] - _least_overlap(lines.size[chosen]) + 1
+                index, offsets = lines.spans(chosen, lengths)
+                words = lines.words[index]
+                of = np.repeat(np.arange(len(chosen)), lengths)
+                at = np.arange(len(index)) - offsets[:-1][of]
+                common = shared.value[_slot(words)] > limit
+                rows = [(words[~common], of[~common], at[~common])]
+                for k in np.unique(of[common]).tolist():
+                    line = chosen[k]
+                    longer = lines.words[lines.begin[line] : lines.begin[line] + lengths[k] + 1]
+                    pairs = _pair_keys(longer, shared.value[_slot(longer)] > limit)
+                    rows.append((np.array([p[0] for p in pairs], dtype=np.uint64), np.full(len(pairs), k), np.array([p[1] for p in pairs], dtype=np.int64)))
+                words, of, at = (np.concatenate(x) for x in zip(*rows))
+                line = chosen[of]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array((words >> np.uint64(64 - KEY_BITS)).astype(np.int64)), pa.array(lines.key[line]),
+                    pa.array(lines.signature[line]), pa.array((lines.size[line] << 32 | at).astype(np.int64))],
+                    ["word", "key", "signature", "place"])
+
+    return texts.select("t").mapInArrow(run, "word bigint, key bigint, signature bigint, place bigint")
+
+
+def _candidates(texts: DataFrame, levels: np.ndarray) -> DataFrame:
     """Pairs of sets (``a`` before ``b`` by size, then key) that pass all filters."""
-    sets = lines.where(F.size("prefix") > 0).select("key", F.col("size").alias("n"), "prefix")
-    postings = sets.select("key", "n", F.size("prefix").alias("p"), F.posexplode("prefix").alias("at", "word"))
-    prefixes = postings.where("at < p - 1").select("key", "n", "at", "word").distinct()
-    hot = cut_lineage(prefixes.groupBy("word").count().where(F.col("count") > HOT).select("word"))
-    rare = prefixes.join(hot, "word", "left_anti")
-    found = _meet(rare, rare, ["word"])
-    # sets that match share two words of the prefixes that are one word longer; if neither is
-    # hot the first of them has been met above
-    marked = sets.select("*", F.posexplode("prefix").alias("at", "word")).join(hot, "word")
-    twos = marked.select("key", "n", F.col("at").alias("i"), "word", F.posexplode("prefix").alias("j", "other")).where("i <> j")
-    # sizes that can match lie in one band or in neighbouring ones
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / SIMILARITY)) + 1e-9)
-    keyed = twos.select(
-        F.least("word", "other").alias("u"), F.greatest("word", "other").alias("v"), "key", "n",
-        F.least("i", "j").alias("at"), band.alias("band"),
-    ).distinct()
-    larger = keyed.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") - 1)))
-    return found.unionByName(_meet(keyed, larger, ["u", "v", "band"])).distinct()
+    # one exchange serves the removal of copies from several tasks and both sides of the join
+    rows = _postings(texts, levels).repartition("word").dropDuplicates(["word", "key"])
+    x = rows.select("word", *[F.col(c).alias(f"{c}_a") for c in ("key", "signature", "place")])
+    y = rows.select("word", *[F.col(c).alias(f"{c}_b") for c in ("key", "signature", "place")])
+    n_a, n_b = (F.shiftright(f"place_{s}", 32) for s in "ab")
+    at_a, at_b = (F.col(f"place_{s}").bitwiseAND(F.lit(2**32 - 1)) for s in "ab")
+    before = (n_a < n_b) | ((n_a == n_b) & (F.col("key_a") < F.col("key_b")))
+    sizes = n_a >= n_b * SIMILARITY - 1e-9
+    differ = F.bit_count(F.col("signature_a").bitwiseXOR(F.col("signature_b")))
+    close = differ <= (n_a + n_b) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-9
+    # shared words stand before this one in both sets, or from it on in both
+    most = F.least(at_a, at_b) + F.least(n_a - at_a, n_b - at_b)
+    reach = most >= (n_a + n_b) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9
+    return x.join(y, "word").where(before & sizes & close & reach).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
 
 
 def _bitmap(pairs: DataFrame) -> np.ndarray:
@@ -203,25 +221,21 @@ def _sets(texts: DataFrame, wanted: np.ndarray) -> DataFrame:
         flags = np.unpackbits(shared.value).astype(bool)
         seen: set[int] = set()
         for batch in batches:
-            for value in batch.column(batch.num_columns - 1):
-                lines = Lines(value.as_py(), None)
+            for _, held in text_groups(batch.column(0)):
+                lines = Lines(held)
                 slots = (lines.key.view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
-                hits = [k for k in np.flatnonzero(flags[slots]).tolist() if int(lines.key[k]) not in seen]
-                if not hits:
-                    continue
-                chosen = np.array(hits)
-                seen.update(lines.key[chosen].tolist())
-                offsets, words = lines.taken(chosen, lines.size[chosen])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(lines.key[chosen]), pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(words))],
-                    ["key", "words"])
+                chosen = np.flatnonzero(flags[slots])
+                chosen = chosen[_new(lines.key[chosen], seen)]
+                index, offsets = lines.spans(chosen, lines.size[chosen])
+                words = pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(lines.words[index].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(lines.key[chosen]), words], ["key", "words"])
 
-    return texts.mapInArrow(_together(run), "key bigint, words array<bigint>").dropDuplicates(["key"])
+    return texts.select("t").mapInArrow(run, "key bigint, words array<bigint>").dropDuplicates(["key"])
 
 
-def matches(texts: DataFrame, lines: DataFrame) -> DataFrame:
+def matches(texts: DataFrame, levels: np.ndarray) -> DataFrame:
     """``a``, ``b``: all pairs of different sets whose similarity is SIMILARITY or more."""
-    pairs = cut_lineage(_candidates(lines))
+    pairs = cut_lineage(_candidates(texts, levels))
     sets = cut_lineage(_sets(texts, _bitmap(pairs)))
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("words").alias("x")), "a").join(
         sets.select(F.col("key").alias("b"), F.col("words").alias("y")), "b"
@@ -237,10 +251,11 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t")
     )
-    lines = cut_lineage(_scan(texts, rarity_levels(texts.select("t"))))
+    scanned = cut_lineage(_scan(texts))
+    lines = scanned.where("key is not null").select("id", "hash", "line", "key")
     # a NULL id comes last
     place = F.struct(F.col("id").isNull().alias("last"), "id", "hash", "line")
-    found = cut_lineage(matches(texts, lines))
+    found = cut_lineage(matches(texts, rarity_levels(scanned)))
     firsts = cut_lineage(lines.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")))
     ends = found.select(F.col("a").alias("key"), F.col("b").alias("other")).unionByName(
         found.select(F.col("b").alias("key"), F.col("a").alias("other"))
