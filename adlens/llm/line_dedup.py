@@ -18,6 +18,9 @@ comes earlier, by document and place. Steps:
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,12 +31,14 @@ from adlens.llm.tokens import mix, text_groups, word_hashes
 from adlens.session import cut_lineage
 
 SIMILARITY = 0.8
-SLOT_BITS = 20
+SLOT_BITS = 17
 #: steps of the rarity scale per factor of two
 STEPS = 64
 #: words of a slot with more words than this are common
-COMMON = 200_000
+COMMON = 1_000_000
 MAP_BITS = 22
+#: words of sets that go to the tasks at once when pairs are verified
+BLOCK_WORDS = 4_000_000
 KEY_BITS = 40
 
 
@@ -192,17 +197,16 @@ def _candidates(texts: DataFrame, levels: np.ndarray) -> DataFrame:
     sizes = n_a >= n_b * SIMILARITY - 1e-9
     differ = F.bit_count(F.col("signature_a").bitwiseXOR(F.col("signature_b")))
     close = differ <= (n_a + n_b) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-9
-    # shared words stand before this one in both sets, or from it on in both
-    most = F.least(at_a, at_b) + F.least(n_a - at_a, n_b - at_b)
-    reach = most >= (n_a + n_b) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9
-    return x.join(y, "word").where(before & sizes & close & reach).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
+    # at the first shared word all words to share are still to come, in both sets
+    needed = F.ceil((n_a + n_b) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9)
+    first = (at_a + needed <= n_a) & (at_b + needed <= n_b)
+    return x.join(y, "word").where(before & sizes & close & first).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
 
 
-def _bitmap(pairs: DataFrame) -> np.ndarray:
-    """Which slots of a fixed number hold a set of ``pairs``."""
-    keys = pairs.select("a").union(pairs.select("b"))
+def _bitmap(numbers: DataFrame) -> np.ndarray:
+    """Which slots of a fixed number hold one of the ``x``, by their highest bits."""
     # counted from 1, as the bitmap functions do
-    slots = keys.select((F.shiftrightunsigned("a", 64 - MAP_BITS) + 1).alias("slot"))
+    slots = numbers.select((F.shiftrightunsigned("x", 64 - MAP_BITS) + 1).alias("slot"))
     rows = slots.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")
     ).collect()
@@ -234,15 +238,27 @@ def _sets(texts: DataFrame, wanted: np.ndarray) -> DataFrame:
 
 
 def matches(texts: DataFrame, levels: np.ndarray) -> DataFrame:
-    """``a``, ``b``: all pairs of different sets whose similarity is SIMILARITY or more."""
+    """``a``, ``b``: all pairs of different sets whose similarity is SIMILARITY or more.
+
+    The words of ``a`` come by a join, those of ``b`` in blocks of bounded size that every task
+    holds, so no words travel once per pair.
+    """
     pairs = cut_lineage(_candidates(texts, levels))
-    sets = cut_lineage(_sets(texts, _bitmap(pairs)))
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("words").alias("x")), "a").join(
-        sets.select(F.col("key").alias("b"), F.col("words").alias("y")), "b"
-    )
+    sets = cut_lineage(_sets(texts, _bitmap(pairs.select(F.col("a").alias("x")).union(pairs.select("b")))))
+    words = sets.agg(F.sum(F.size("words"))).first()[0] or 0
+    blocks = max(1, math.ceil(words / BLOCK_WORDS))
+    block = lambda name: F.pmod(F.xxhash64(name), F.lit(blocks))
     shared = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - shared
-    return both.where(shared >= SIMILARITY * union - 1e-9).select("a", "b")
+    found = []
+    for k in range(blocks):
+        held = sets.where(block("key") == k).select(F.col("key").alias("b"), F.col("words").alias("y"))
+        here = pairs.where(block("b") == k).join(sets.select(F.col("key").alias("a"), F.col("words").alias("x")), "a")
+        found.append(here.join(F.broadcast(held), "b").where(shared >= SIMILARITY * union - 1e-9).select("a", "b"))
+    joined = found[0]
+    for more in found[1:]:
+        joined = joined.unionByName(more)
+    return joined
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -272,6 +288,19 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ).where("size(repeats) > 0 or n_links > 0")
 
 
+def _in_bitmap(bitmap: np.ndarray, spark):
+    """Function of a number: is its slot in the bitmap?"""
+    shared = spark.sparkContext.broadcast(np.packbits(bitmap))
+
+    def test(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        flags = np.unpackbits(shared.value).astype(bool)
+        for column in columns:
+            numbers = column.to_numpy(zero_copy_only=False).view(np.uint64)
+            yield pa.array(flags[(numbers >> np.uint64(64 - MAP_BITS)).astype(np.int64)])
+
+    return F.arrow_udf(test, "boolean")
+
+
 def _without(text: Column, repeats: Column) -> Column:
     lines = F.split(text, "\n")
     keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform(repeats, lambda x: x.cast("int")))
@@ -287,18 +316,23 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     may become empty; its row stays. NULL texts stay NULL. All columns are kept, a column
     that has the name of a count is replaced by it. An empty table gives an empty table.
     """
-    repeats = find_repeats(docs, id_col, text_col)
+    repeats = cut_lineage(find_repeats(docs, id_col, text_col))
     names = fresh(docs, "line_id", "line_hash", "line_repeats", "line_links")
     i, h, r, n = names
     marks = repeats.toDF(i, h, r, n)
-    same = docs[id_col].eqNullSafe(marks[i]) & (F.xxhash64(docs[text_col]) == marks[h])
-    joined = docs.join(marks, same, "left")
+    # texts that surely have no mark need not travel
+    marked = _in_bitmap(_bitmap(repeats.select(F.xxhash64("id", "hash").alias("x"))), docs.sparkSession)
+    maybe = marked(F.xxhash64(F.col(id_col), F.xxhash64(text_col)))
+    some, rest = docs.where(maybe), docs.where(~maybe)
+    same = some[id_col].eqNullSafe(marks[i]) & (F.xxhash64(some[text_col]) == marks[h])
+    nothing = rest.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in marks.schema])
+    joined = some.join(marks, same, "left").unionByName(nothing)
     text = F.when(F.size(r) > 0, _without(F.col(text_col), F.col(r))).otherwise(F.col(text_col))
     out = joined.withColumn(text_col, text)
     if counts:
-        before = F.when(docs[text_col].isNull(), 0).otherwise(F.size(F.split(docs[text_col], "\n")))
+        before = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(F.split(F.col(text_col), "\n")))
         out = joined.select(
-            *[docs[c] for c in docs.columns if c.lower() not in (text_col.lower(), "n_lines", "n_removed", "n_links")],
+            *[F.col(f"`{c}`") for c in docs.columns if c.lower() not in (text_col.lower(), "n_lines", "n_removed", "n_links")],
             text.alias(text_col), before.cast("bigint").alias("n_lines"),
             F.greatest(F.coalesce(F.size(r), F.lit(0)), F.lit(0)).cast("bigint").alias("n_removed"),
             F.coalesce(F.col(n), F.lit(0)).alias("n_links"),
