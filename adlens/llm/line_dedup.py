@@ -38,7 +38,11 @@ STEPS = 64
 COMMON = 1_000_000
 MAP_BITS = 22
 #: words of sets that go to the tasks at once when pairs are verified
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 2_000_000
+#: such blocks in one job
+BLOCKS = 4
+#: bits of the signature that candidates must pass before their words are read
+WIDE = 512
 KEY_BITS = 40
 
 
@@ -217,8 +221,9 @@ def _bitmap(numbers: DataFrame) -> np.ndarray:
     return found
 
 
-def _sets(texts: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """``key`` and ``words`` of the sets whose slot is wanted, once per set and task."""
+def _chosen(texts: DataFrame, pairs: DataFrame, made, schema: str) -> DataFrame:
+    """Rows of ``made(lines, chosen)`` for the sets of ``pairs`` (and a few more), one per set."""
+    wanted = _bitmap(pairs.select(F.col("a").alias("x")).union(pairs.select("b")))
     shared = texts.sparkSession.sparkContext.broadcast(np.packbits(wanted))
 
     def run(batches):
@@ -229,12 +234,39 @@ def _sets(texts: DataFrame, wanted: np.ndarray) -> DataFrame:
                 lines = Lines(held)
                 slots = (lines.key.view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
                 chosen = np.flatnonzero(flags[slots])
-                chosen = chosen[_new(lines.key[chosen], seen)]
-                index, offsets = lines.spans(chosen, lines.size[chosen])
-                words = pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(lines.words[index].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(lines.key[chosen]), words], ["key", "words"])
+                yield made(lines, chosen[_new(lines.key[chosen], seen)])
 
-    return texts.select("t").mapInArrow(run, "key bigint, words array<bigint>").dropDuplicates(["key"])
+    return texts.select("t").mapInArrow(run, schema).dropDuplicates(["key"])
+
+
+def _wide(lines: Lines, chosen: np.ndarray) -> pa.RecordBatch:
+    """``key``, ``size`` and a signature of WIDE bits in numbers of 64."""
+    index, offsets = lines.spans(chosen, lines.size[chosen])
+    flips = np.zeros((len(chosen), WIDE), dtype=np.uint8)
+    of = np.repeat(np.arange(len(chosen)), lines.size[chosen])
+    np.bitwise_xor.at(flips, (of, (lines.words[index] >> np.uint64(6)) % np.uint64(WIDE)), 1)
+    bits = np.packbits(flips, axis=1).view(np.int64)
+    columns = [pa.array(np.ascontiguousarray(bits[:, k])) for k in range(WIDE // 64)]
+    names = ["key", "size", *[f"s{k}" for k in range(WIDE // 64)]]
+    return pa.RecordBatch.from_arrays([pa.array(lines.key[chosen]), pa.array(lines.size[chosen].astype(np.int64)), *columns], names)
+
+
+def _words(lines: Lines, chosen: np.ndarray) -> pa.RecordBatch:
+    """``key`` and ``words`` of whole sets."""
+    index, offsets = lines.spans(chosen, lines.size[chosen])
+    words = pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(lines.words[index].view(np.int64)))
+    return pa.RecordBatch.from_arrays([pa.array(lines.key[chosen]), words], ["key", "words"])
+
+
+def _close(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose wide signatures differ in no more bits than matching sets in words."""
+    parts = [f"s{k}" for k in range(WIDE // 64)]
+    sets = cut_lineage(_chosen(texts, pairs, _wide, "key bigint, size bigint, " + ", ".join(f"{c} bigint" for c in parts)))
+    x = sets.select(F.col("key").alias("a"), F.col("size").alias("n_a"), *[F.col(c).alias(f"{c}_a") for c in parts])
+    y = sets.select(F.col("key").alias("b"), F.col("size").alias("n_b"), *[F.col(c).alias(f"{c}_b") for c in parts])
+    differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in parts), F.lit(0))
+    most = (F.col("n_a") + F.col("n_b")) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-9
+    return pairs.join(x, "a").join(y, "b").where(differ <= most).select("a", "b")
 
 
 def matches(texts: DataFrame, levels: np.ndarray) -> DataFrame:
@@ -244,20 +276,23 @@ def matches(texts: DataFrame, levels: np.ndarray) -> DataFrame:
     holds, so no words travel once per pair.
     """
     pairs = cut_lineage(_candidates(texts, levels))
-    sets = cut_lineage(_sets(texts, _bitmap(pairs.select(F.col("a").alias("x")).union(pairs.select("b")))))
+    pairs = cut_lineage(_close(texts, pairs))
+    sets = cut_lineage(_chosen(texts, pairs, _words, "key bigint, words array<bigint>"))
     words = sets.agg(F.sum(F.size("words"))).first()[0] or 0
     blocks = max(1, math.ceil(words / BLOCK_WORDS))
     block = lambda name: F.pmod(F.xxhash64(name), F.lit(blocks))
     shared = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - shared
-    found = []
-    for k in range(blocks):
-        held = sets.where(block("key") == k).select(F.col("key").alias("b"), F.col("words").alias("y"))
-        here = pairs.where(block("b") == k).join(sets.select(F.col("key").alias("a"), F.col("words").alias("x")), "a")
-        found.append(here.join(F.broadcast(held), "b").where(shared >= SIMILARITY * union - 1e-9).select("a", "b"))
-    joined = found[0]
-    for more in found[1:]:
-        joined = joined.unionByName(more)
+    joined = None
+    for start in range(0, blocks, BLOCKS):
+        held = block("b").between(start, start + BLOCKS - 1)
+        here = pairs.where(held).join(sets.select(F.col("key").alias("a"), F.col("words").alias("x")), "a")
+        for k in range(start, min(blocks, start + BLOCKS)):
+            right = sets.where(block("key") == k).select(F.col("key").alias("b"), F.col("words").alias("y"))
+            part = here.where(block("b") == k).join(F.broadcast(right), "b").where(shared >= SIMILARITY * union - 1e-9).select("a", "b")
+            found = part if k == start else found.unionByName(part)
+        found = cut_lineage(found)
+        joined = found if joined is None else joined.unionByName(found)
     return joined
 
 
