@@ -46,7 +46,12 @@ CLASS_WORDS = (
 _RAW, _LEFT_OUT, _VOID, _BLOCK, _ARTICLE = set(RAW), set(LEFT_OUT), set(VOID), set(BLOCK), set(ARTICLE)
 _ROLES, _WORDS = set(ROLES), set(CLASS_WORDS)
 # quoted values may hold a closing angle bracket; possessive, so a broken tag costs one pass
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>",
+    re.S,
+)
+_RAW_END = {name: re.compile(rf"</{name}(?![a-zA-Z0-9:-])", re.I) for name in RAW}
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _PART = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
@@ -76,20 +81,15 @@ def _is_noise(name: str, attributes: str, in_article: bool) -> bool:
 def _tokens(page: str):
     """(text before, slash, name, attributes) of every tag; the last one has no name."""
     at = 0
-    skip_to = None
-    for m in _TAG.finditer(page):
-        if skip_to:
-            if m[1] != "/" or (m[2] or "").lower() != skip_to:
-                continue
-            at, skip_to = m.start(), None
-        text = page[at : m.start()]
-        at = m.end()
+    while (m := _TAG.search(page, at)) is not None:
         name = (m[2] or "").lower()
-        yield text, m[1] or "", name, m[3] or ""
+        yield page[at : m.start()], m[1] or "", name, m[3] or ""
+        at = m.end()
         if name in _RAW and not m[1] and not (m[3] or "").endswith("/"):
-            skip_to = name
-    if not skip_to:
-        yield page[at:], "", "", ""
+            # what stands inside is no markup; without an end tag it is the rest of the page
+            end = _RAW_END[name].search(page, at)
+            at = end.start() if end else len(page)
+    yield page[at:], "", "", ""
 
 
 def _closed(tokens: list) -> list[int]:
@@ -160,7 +160,7 @@ def lines_of(page: str) -> list[tuple[str, bool, int]]:
             link_end = ends[i]
         if i == article_end:
             lines.extend([("", False, 0)] * WINDOW)
-    flush(False)
+    flush(article_end >= len(tokens))
     return lines
 
 
@@ -182,16 +182,17 @@ def main_text(page: str | None) -> str:
     """Text of the article, blocks joined by one blank; empty for NULL and for pages without text."""
     lines = lines_of(page or "")
     marked = any(inside and text for text, inside, _ in lines)
-    lengths = [len(text) if inside or not marked else 0 for text, inside, _ in lines]
+    if marked:
+        lengths = [len(text) if inside else 0 for text, inside, _ in lines]
+    else:
+        # lines of links are menus
+        lengths = [len(text) if links < LINK_SHARE * len(text) else 0 for text, _, links in lines]
     runs = stretches(lengths)
     if not marked and runs:
         chars = [sum(lengths[a:b]) for a, b in runs]
-        links = [sum(x[2] for x in lines[a:b]) for a, b in runs]
-        prose = [n if k < LINK_SHARE * n else 0 for n, k in zip(chars, links)]
-        least = min(STRETCH_CHARS, max(prose)) if max(prose) else 1
-        strong = [i for i, n in enumerate(prose) if n >= max(1, min(least, max(prose))) and (n >= STRETCH_CHARS or n >= STRETCH_SHARE * max(prose))]
-        runs = [r for i, r in enumerate(runs) if strong and strong[0] <= i <= strong[-1] and prose[i]]
-    return " ".join(text for a, b in runs for k in range(a, b) if lengths[k] for text in [lines[k][0]])
+        strong = [i for i, n in enumerate(chars) if n >= STRETCH_CHARS or n >= STRETCH_SHARE * max(chars)]
+        runs = runs[strong[0] : strong[-1] + 1]
+    return " ".join(lines[k][0] for a, b in runs for k in range(a, b) if lengths[k])
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
