@@ -47,11 +47,12 @@ def exact_quantiles(
 
     v = F.col("_v")
     inside = few
-    below = F.lit(float("-inf"))
     for i in range(len(probs)):
-        low, high = edge(2 * i), edge(2 * i + 1)
-        inside = inside | v.between(low, high)
-        below = F.when(high < v, F.greatest(below, high)).otherwise(below)
+        inside = inside | v.between(edge(2 * i), edge(2 * i + 1))
+    # the highest bracket end below the value; NULLs do not count
+    below = F.greatest(
+        F.lit(float("-inf")), F.lit(None).cast("double"), *[F.when(edge(2 * i + 1) < v, edge(2 * i + 1)) for i in range(len(probs))]
+    )
     counted = (
         marked.select(
             *groups,

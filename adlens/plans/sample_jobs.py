@@ -202,11 +202,19 @@ def correlation_matrix(spark, folder):
     return found.select("left_column", "right_column", _r("correlation", 8).alias("correlation"))
 
 
-def price_histogram(spark, folder):
-    found = profile.histogram(frame(spark, folder), "mileage_km")
+def _histogram(spark, folder, column):
+    found = profile.histogram(frame(spark, folder), column)
     return found.select("bin", _r("bin_start", 4).alias("bin_start"), _r("bin_end", 4).alias("bin_end"), "rows")
 
 
+def price_histogram(spark, folder):
+    return _histogram(spark, folder, "price_eur")
+
+
+def mileage_histogram(spark, folder):
+    return _histogram(spark, folder, "mileage_km")
+
+
 def rows_by_source(spark, folder):
     return profile.rows_by(best(spark, folder), "source")
 
@@ -585,17 +593,16 @@ def price_texts(spark, folder):
     )
 
 
-# not registered yet: holdout_table, residual_profile, cross_validation, history_detail and
-# history_delete, whose plans were not seen to finish
 JOBS = [
     normalize_listings, dedupe_exact, dedupe_fuzzy, dedupe_report, keep_first_per_run, union_of_inputs, distinct_union,
     enum_map, make_from_title, clean_training, price_trim, enrich, scoring_payload, available_features, cleaning_summary,
     target_bins, pearson, cramers_v, significance, correlation_matrix, price_histogram, rows_by_source, top_makes,
     median_price_by_year, median_price_by_make, distinct_makes_models, approximate_distinct, field_coverage,
     price_mileage_grid, price_mileage_points, imputation_values, most_frequent_values, imputation_values_by_make,
-    stratified_split, candidate_pools, similar_topk, holdout_metrics, best_model, 
+    stratified_split, candidate_pools, similar_topk, holdout_metrics, best_model,
+    holdout_table, residual_profile, cross_validation,
     ensemble_agreement, ensemble_inverse_mae, ensemble_weights, estimate_spread, price_report,
-    verdict_by_label, lookup_by_url_or_id, lookup_in_order, unresolved_requests, history_latest, history_summary,
+    verdict_by_label, lookup_by_url_or_id, lookup_in_order, unresolved_requests, history_latest, history_summary, history_detail, history_delete, mileage_histogram,
     url_keys, page_titles, page_text, page_frontier, search_frontier, site_of_urls,
     slug_keys, document_numbers, title_cased_documents, synthetic_ids, power_and_engine, price_texts,
 ]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -18,6 +19,9 @@ SETTINGS = {
 
 def local_session(cores: int = 8, memory: str = "8g", shuffle_partitions: int | None = None) -> SparkSession:
     """Session for tests and the local bench; a cluster brings its own."""
+    # Python workers import the package whatever folder the process started in
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    os.environ["PYTHONPATH"] = os.pathsep.join([root, *filter(None, [os.environ.get("PYTHONPATH")])])
     builder = SparkSession.builder.master(f"local[{cores}]").appName("adlens")
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)

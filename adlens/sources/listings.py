@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +18,13 @@ POSITION = "_position"
 
 def _file_order(paths: list[str]) -> Column:
     """Rank of the input path a row came from, so that files keep the order they were named in."""
-    name = F.col("_metadata.file_path")
+    bare = r"^[A-Za-z][A-Za-z0-9+.\-]*:(//[^/]*)?"
+    name = F.concat(F.regexp_replace(F.col("_metadata.file_path"), bare, ""), F.lit("/"))
     order = F.lit(len(paths))
     for i, path in reversed(list(enumerate(paths))):
-        order = F.when(F.contains(name, F.lit(path.rstrip("/"))), F.lit(i)).otherwise(order)
+        named = re.sub(bare, "", path) if re.match(bare, path) else os.path.abspath(path)
+        # a whole path, or a whole folder of it
+        order = F.when(F.startswith(name, F.lit(named.rstrip("/") + "/")), F.lit(i)).otherwise(order)
     return order
 
 
@@ -46,8 +53,11 @@ def read_jsonl(spark: SparkSession, paths: str | list[str], normalized: bool = F
 def holds_normalized(spark: SparkSession, paths: str | list[str]) -> bool:
     """Whether the first row of the input already has a listing key."""
     names = [paths] if isinstance(paths, str) else list(paths)
-    first = spark.read.text(names).where(F.trim("value") != "").head(1)
-    return bool(first) and '"source_listing_key"' in first[0].value
+    for name in names:
+        first = spark.read.text(name).where(F.trim("value") != "").head(1)
+        if first:
+            return '"source_listing_key"' in first[0].value
+    return False
 
 
 def read_folder(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,10 +69,16 @@ def read_folder(spark: SparkSession, folder: str) -> DataFrame:
 def read_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Exported listings; columns are matched by the header, missing ones become NULL."""
     names = [paths] if isinstance(paths, str) else list(paths)
-    options = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "mode": "FAILFAST"}
+    # every path has a header of its own; files of one folder must agree
+    tables = [_read_csv(spark, name, names) for name in names]
+    return reduce(DataFrame.unionByName, tables)
+
+
+def _read_csv(spark: SparkSession, name: str, names: list[str]) -> DataFrame:
+    options = {"header": True, "enforceSchema": False, "multiLine": True, "quote": '"', "escape": '"', "mode": "FAILFAST"}
     # the header decides which columns exist; it is the only line read here
-    header = spark.read.options(**options).csv(names).columns
-    as_text = spark.read.options(**options).schema(", ".join(f"`{c}` string" for c in header)).csv(names)
+    header = spark.read.options(**options).csv(name).columns
+    as_text = spark.read.options(**options).schema(", ".join(f"`{c}` string" for c in header)).csv(name)
     typed = as_text.select(
         *[
             # pandas writes whole numbers of a column with gaps as 2015.0

@@ -80,3 +80,43 @@ def test_knn_equals_brute_force(spark):
         d = np.abs(z[:30] - z[i])
         near = np.argsort(d)[:3]
         assert abs(got[f"k{i:02d}"] - np.average(y[near], weights=1 / d[near])) < 1e-6
+
+
+def test_delete_keeps_rows_without_a_user(spark):
+    from adlens.sources import history
+
+    rows = spark.createDataFrame([("a", 1), ("b", None), (None, 1), ("c", 2)], "id string, user_id bigint")
+    left, removed = history.without(rows, 1, "a")
+    assert {(r.id, r.user_id) for r in left.collect()} == {("b", None), (None, 1), ("c", 2)}
+    assert removed.first().removed == 1
+
+
+def test_csv_files_with_other_column_order(spark, tmp_path):
+    from adlens.sources import listings
+
+    (tmp_path / "1").mkdir()
+    (tmp_path / "10").mkdir()
+    (tmp_path / "1" / "x.csv").write_text("make,model\nAudi,A4\n")
+    (tmp_path / "10" / "x.csv").write_text("model,make\nA6,Audi\n")
+    read = listings.read_csv(spark, [str(tmp_path / "10"), str(tmp_path / "1")])
+    got = {(r.make, r.model, r[listings.POSITION].file) for r in read.collect()}
+    assert got == {("Audi", "A4", 1), ("Audi", "A6", 0)}
+
+
+def test_first_named_file_decides_the_kind(spark, tmp_path):
+    from adlens.sources import listings
+
+    (tmp_path / "a.jsonl").write_text('{"source_listing_key": "x"}\n')
+    (tmp_path / "b.jsonl").write_text('{"url": "y"}\n' * 50)
+    assert listings.holds_normalized(spark, [str(tmp_path / "a.jsonl"), str(tmp_path / "b.jsonl")])
+    assert not listings.holds_normalized(spark, [str(tmp_path / "b.jsonl"), str(tmp_path / "a.jsonl")])
+
+
+def test_many_quantiles_at_once(spark):
+    import numpy as np
+    from adlens.operators.quantiles import exact_quantiles
+
+    values = [float(x) for x in np.random.default_rng(1).normal(size=30_000).round(3)]
+    shares = [i / 100 for i in range(101)]
+    got = exact_quantiles(spark.createDataFrame([(v,) for v in values], "v double").repartition(4), [], "v", shares).first().quantiles
+    assert np.allclose(got, np.quantile(values, shares), atol=1e-9)
