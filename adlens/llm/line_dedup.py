@@ -14,10 +14,15 @@ comes earlier, by document and place. Steps:
   whole sets.
 * A common word is no key by itself. With a prefix that is one word longer, sets that match
   share two words; if the first of them is common, both together are the key.
+* Removal needs one earlier match of a set, not all. So where links are not counted, sets first
+  meet an early set that shares two of their least words under some hashes (a leader); those
+  that match it and come later are settled. In the join above a pair needs one set that is not
+  settled, so a large group of nearly equal lines costs no pairs among its settled sets.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -44,6 +49,8 @@ BLOCKS = 4
 #: bits of the signature that candidates must pass before their words are read
 WIDE = 512
 KEY_BITS = 40
+#: least words of a set under so many hashes; two of them together lead to a leader
+LEAST_WORDS = 3
 
 
 def _least_overlap(n):
@@ -189,12 +196,49 @@ def _postings(texts: DataFrame, levels: np.ndarray) -> DataFrame:
     return texts.select("t").mapInArrow(run, "word bigint, key bigint, signature bigint, place bigint")
 
 
-def _candidates(texts: DataFrame, levels: np.ndarray) -> DataFrame:
-    """Pairs of sets (``a`` before ``b`` by size, then key) that pass all filters."""
+def _leaders(texts: DataFrame) -> DataFrame:
+    """Pairs of a set ``a`` and the first set ``b`` (by id, then key) with two of its least words; at most a few per set."""
+    words = [f"w{k}" for k in range(LEAST_WORDS)]
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            for first, held in text_groups(batch.column(1)):
+                lines = Lines(held)
+                chosen = _new(lines.key, seen)
+                chosen = chosen[lines.size[chosen] > 3]
+                if len(chosen):
+                    index, offsets = lines.spans(chosen, lines.size[chosen])
+                    seeds = [np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1)) for k in range(LEAST_WORDS)]
+                    least = [np.minimum.reduceat(mix(lines.words[index] ^ seed), offsets[:-1]) for seed in seeds]
+                    yield pa.RecordBatch.from_arrays([
+                        batch.column(0).take(pa.array(lines.text[chosen] + first)), pa.array(lines.key[chosen]),
+                        *[pa.array(x.view(np.int64)) for x in least]], ["id", "key", *words])
+
+    kind = texts.schema["id"].dataType.simpleString()
+    sets = texts.select("id", "t").mapInArrow(run, f"id {kind}, key bigint, " + ", ".join(f"{w} bigint" for w in words))
+    both = [F.xxhash64(F.lit(f"{x}{y}"), x, y) for x, y in itertools.combinations(words, 2)]
+    bands = cut_lineage(sets.select("id", "key", F.explode(F.array(*both)).alias("band")))
+    lead = bands.groupBy("band").agg(
+        F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("lead"), F.max("key").alias("most"), F.min("key").alias("least")
+    )
+    # a band that holds one set only leads nowhere
+    lead = lead.where("most <> least").select("band", F.col("lead.key").alias("b"))
+    return bands.select("band", F.col("key").alias("a")).join(lead, "band").where("a <> b").select("a", "b").distinct()
+
+
+def _candidates(texts: DataFrame, levels: np.ndarray, settled: DataFrame | None = None) -> DataFrame:
+    """Pairs of sets (``a`` before ``b`` by size, then key) that pass all filters; not both of them are ``settled`` (keys)."""
+    rows = _postings(texts, levels)
+    known = F.lit(False)
+    if settled is not None:
+        rows = rows.join(settled.select("key", F.lit(True).alias("done")), "key", "left")
+        known = F.col("done_a").isNotNull() & F.col("done_b").isNotNull()
     # one exchange serves the removal of copies from several tasks and both sides of the join
-    rows = _postings(texts, levels).repartition("word").dropDuplicates(["word", "key"])
-    x = rows.select("word", *[F.col(c).alias(f"{c}_a") for c in ("key", "signature", "place")])
-    y = rows.select("word", *[F.col(c).alias(f"{c}_b") for c in ("key", "signature", "place")])
+    rows = rows.repartition("word").dropDuplicates(["word", "key"])
+    columns = [c for c in rows.columns if c != "word"]
+    x = rows.select("word", *[F.col(c).alias(f"{c}_a") for c in columns])
+    y = rows.select("word", *[F.col(c).alias(f"{c}_b") for c in columns])
     n_a, n_b = (F.shiftright(f"place_{s}", 32) for s in "ab")
     at_a, at_b = (F.col(f"place_{s}").bitwiseAND(F.lit(2**32 - 1)) for s in "ab")
     before = (n_a < n_b) | ((n_a == n_b) & (F.col("key_a") < F.col("key_b")))
@@ -204,7 +248,7 @@ def _candidates(texts: DataFrame, levels: np.ndarray) -> DataFrame:
     # at the first shared word all words to share are still to come, in both sets
     needed = F.ceil((n_a + n_b) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9)
     first = (at_a + needed <= n_a) & (at_b + needed <= n_b)
-    return x.join(y, "word").where(before & sizes & close & first).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
+    return x.join(y, "word").where(before & sizes & close & first & ~known).select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).distinct()
 
 
 def _bitmap(numbers: DataFrame) -> np.ndarray:
@@ -270,13 +314,32 @@ def _close(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def matches(texts: DataFrame, levels: np.ndarray) -> DataFrame:
-    """``a``, ``b``: all pairs of different sets whose similarity is SIMILARITY or more.
+    """``a``, ``b``: all pairs of different sets whose similarity is SIMILARITY or more."""
+    pairs = cut_lineage(_candidates(texts, levels))
+    return _verified(texts, cut_lineage(_close(texts, pairs)))
+
+
+def late_sets(texts: DataFrame, levels: np.ndarray, firsts: DataFrame) -> DataFrame:
+    """``key`` of every set that matches another one whose ``first`` place is earlier."""
+
+    def later(pairs: DataFrame) -> DataFrame:
+        a = firsts.select(F.col("key").alias("a"), F.col("first").alias("first_a"))
+        b = firsts.select(F.col("key").alias("b"), F.col("first").alias("first_b"))
+        return pairs.join(a, "a").join(b, "b").select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("key"))
+
+    led = _verified(texts, cut_lineage(_leaders(texts)))
+    settled = cut_lineage(later(led).distinct())
+    pairs = cut_lineage(_candidates(texts, levels, settled))
+    rest = _verified(texts, cut_lineage(_close(texts, pairs)))
+    return settled.unionByName(later(rest)).distinct()
+
+
+def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose similarity is SIMILARITY or more.
 
     The words of ``a`` come by a join, those of ``b`` in blocks of bounded size that every task
     holds, so no words travel once per pair.
     """
-    pairs = cut_lineage(_candidates(texts, levels))
-    pairs = cut_lineage(_close(texts, pairs))
     sets = cut_lineage(_chosen(texts, pairs, _words, "key bigint, words array<bigint>"))
     words = sets.agg(F.sum(F.size("words"))).first()[0] or 0
     blocks = max(1, math.ceil(words / BLOCK_WORDS))
@@ -296,9 +359,10 @@ def matches(texts: DataFrame, levels: np.ndarray) -> DataFrame:
     return joined
 
 
-def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = True) -> DataFrame:
     """``id``, ``hash`` (of the text), ``repeats`` (numbers of the lines that go, from 0) and ``n_links`` (pairs
-    of different word sets that the text's sets belong to) of every text that has any of them."""
+    of different word sets that the text's sets belong to) of every text that has any of them. Without
+    ``counts`` the same lines go, but not all pairs are looked for and ``n_links`` is 0."""
     texts = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t")
     )
@@ -306,8 +370,14 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = scanned.where("key is not null").select("id", "hash", "line", "key")
     # a NULL id comes last
     place = F.struct(F.col("id").isNull().alias("last"), "id", "hash", "line")
-    found = cut_lineage(matches(texts, rarity_levels(scanned)))
+    levels = rarity_levels(scanned)
     firsts = cut_lineage(lines.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")))
+    if not counts:
+        late = late_sets(texts, levels, firsts).withColumn("late", F.lit(True))
+        judged = lines.join(firsts.join(late, "key", "left").where("copies > 1 or late").select("key", "first", "late"), "key")
+        gone = judged.where(F.col("late").isNotNull() | (place > F.col("first")))
+        return gone.groupBy("id", "hash").agg(F.sort_array(F.collect_set("line")).alias("repeats"), F.lit(0).cast("bigint").alias("n_links"))
+    found = cut_lineage(matches(texts, levels))
     ends = found.select(F.col("a").alias("key"), F.col("b").alias("other")).unionByName(
         found.select(F.col("b").alias("key"), F.col("a").alias("other"))
     )
@@ -351,7 +421,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     may become empty; its row stays. NULL texts stay NULL. All columns are kept, a column
     that has the name of a count is replaced by it. An empty table gives an empty table.
     """
-    repeats = cut_lineage(find_repeats(docs, id_col, text_col))
+    repeats = cut_lineage(find_repeats(docs, id_col, text_col, counts))
     names = fresh(docs, "line_id", "line_hash", "line_repeats", "line_links")
     i, h, r, n = names
     marks = repeats.toDF(i, h, r, n)

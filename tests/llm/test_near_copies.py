@@ -149,6 +149,25 @@ def test_line_dedup_matches_brute_force(spark, monkeypatch, common):
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("words", [2, 3])
+def test_removal_is_the_same_with_and_without_counted_links(spark, monkeypatch, words):
+    # chains of small changes: many sets match an earlier one, but not the leader of their group
+    monkeypatch.setattr(line_dedup, "LEAST_WORDS", words)
+    rng, words = random.Random(11), vocabulary(300, 11)
+    rows = []
+    for g in range(6):
+        line = rng.sample(words, 24)
+        for i in range(40):
+            line[rng.randrange(24)] = rng.choice(words)
+            rows.append((rng.randrange(10**6), " ".join(line) + "\n" + " ".join(rng.choices(words, k=12))))
+    rows += [(None, rows[0][1]), (None, None), (1, "")]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    want = line_dedup.drop_repeated_lines(table, counts=True)
+    got = line_dedup.drop_repeated_lines(table)
+    assert sorted(got.collect(), key=repr) == sorted(want.select("doc_id", "text").collect(), key=repr)
+    assert want.where("n_links > 0 and n_removed = 0").count() > 0 and want.where("n_removed > 0").count() > 50
+
+
 def test_word_hashes_cut_long_texts_anywhere(monkeypatch):
     from adlens.llm import tokens
 
