@@ -327,7 +327,7 @@ def late_sets(texts: DataFrame, levels: np.ndarray, firsts: DataFrame) -> DataFr
         b = firsts.select(F.col("key").alias("b"), F.col("first").alias("first_b"))
         return pairs.join(a, "a").join(b, "b").select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("key"))
 
-    led = _verified(texts, cut_lineage(_leaders(texts)))
+    led = _verified(texts, cut_lineage(_close(texts, cut_lineage(_leaders(texts)))))
     settled = cut_lineage(later(led).distinct())
     pairs = cut_lineage(_candidates(texts, levels, settled))
     rest = _verified(texts, cut_lineage(_close(texts, pairs)))
