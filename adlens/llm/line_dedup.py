@@ -49,6 +49,9 @@ BLOCKS = 4
 #: bits of the signature that candidates must pass before their words are read
 WIDE = 512
 KEY_BITS = 40
+#: sets of more words bring MORE further signatures of 64 bits, as one says little about them; others bring zeros
+LONG = 80
+MORE = 3
 #: least words of a set under so many hashes; two of them together lead to a leader
 LEAST_WORDS = 3
 
@@ -161,8 +164,23 @@ def _pair_keys(words: np.ndarray, common: np.ndarray) -> list[tuple[int, int]]:
     return list(out.items())
 
 
+def _further(lines: Lines, chosen: np.ndarray) -> np.ndarray:
+    """MORE columns of signatures: one bit of them all per word, added modulo 2; 0 for sets that are not long."""
+    out = np.zeros((len(chosen), MORE), dtype=np.uint64)
+    long = np.flatnonzero(lines.size[chosen] > LONG)
+    if len(long):
+        index, offsets = lines.spans(chosen[long], lines.size[chosen[long]])
+        bit = (lines.words[index] >> np.uint64(6)) % np.uint64(64 * MORE)
+        for k in range(MORE):
+            bits = np.where(bit >> np.uint64(6) == k, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0))
+            out[long, k] = np.bitwise_xor.reduceat(bits, offsets[:-1])
+    return out.view(np.int64)
+
+
 def _postings(texts: DataFrame, levels: np.ndarray) -> DataFrame:
-    """``word`` (a key to meet on), ``key``, ``signature`` and ``place`` (size and place packed), per set once in a task."""
+    """``word`` (a key to meet on), ``key``, ``signature``, ``place`` (size and place packed) and further signatures, per
+    set once in a task."""
+    further = [f"more{k}" for k in range(MORE)]
     shared = texts.sparkSession.sparkContext.broadcast(levels)
     limit = int(np.log2(COMMON) * STEPS)
 
@@ -187,13 +205,15 @@ def _postings(texts: DataFrame, levels: np.ndarray) -> DataFrame:
                     pairs = _pair_keys(longer, shared.value[_slot(longer)] > limit)
                     rows.append((np.array([p[0] for p in pairs], dtype=np.uint64), np.full(len(pairs), k), np.array([p[1] for p in pairs], dtype=np.int64)))
                 words, of, at = (np.concatenate(x) for x in zip(*rows))
-                line = chosen[of]
+                line, more = chosen[of], _further(lines, chosen)[of]
                 yield pa.RecordBatch.from_arrays([
                     pa.array((words >> np.uint64(64 - KEY_BITS)).astype(np.int64)), pa.array(lines.key[line]),
-                    pa.array(lines.signature[line]), pa.array((lines.size[line] << 32 | at).astype(np.int64))],
-                    ["word", "key", "signature", "place"])
+                    pa.array(lines.signature[line]), pa.array((lines.size[line] << 32 | at).astype(np.int64)),
+                    *[pa.array(np.ascontiguousarray(more[:, k])) for k in range(MORE)]],
+                    ["word", "key", "signature", "place", *further])
 
-    return texts.select("t").mapInArrow(run, "word bigint, key bigint, signature bigint, place bigint")
+    schema = "word bigint, key bigint, signature bigint, place bigint, " + ", ".join(f"{c} bigint" for c in further)
+    return texts.select("t").mapInArrow(run, schema)
 
 
 def _leaders(texts: DataFrame) -> DataFrame:
@@ -243,8 +263,10 @@ def _candidates(texts: DataFrame, levels: np.ndarray, settled: DataFrame | None
     at_a, at_b = (F.col(f"place_{s}").bitwiseAND(F.lit(2**32 - 1)) for s in "ab")
     before = (n_a < n_b) | ((n_a == n_b) & (F.col("key_a") < F.col("key_b")))
     sizes = n_a >= n_b * SIMILARITY - 1e-9
-    differ = F.bit_count(F.col("signature_a").bitwiseXOR(F.col("signature_b")))
-    close = differ <= (n_a + n_b) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-9
+    most = (n_a + n_b) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-9
+    differ = lambda c: F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")))
+    further = sum((differ(f"more{k}") for k in range(MORE)), F.lit(0))
+    close = (differ("signature") <= most) & ((n_a <= LONG) | (n_b <= LONG) | (further <= most))
     # at the first shared word all words to share are still to come, in both sets
     needed = F.ceil((n_a + n_b) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9)
     first = (at_a + needed <= n_a) & (at_b + needed <= n_b)
