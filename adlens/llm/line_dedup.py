@@ -429,9 +429,12 @@ def _in_bitmap(bitmap: np.ndarray, spark):
 
 
 def _without(text: Column, repeats: Column) -> Column:
-    lines = F.split(text, "\n")
-    keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform(repeats, lambda x: x.cast("int")))
-    return F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n")
+    def rest(lines: Column) -> Column:
+        keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform(repeats, lambda x: x.cast("int")))
+        return F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n")
+
+    # as a variable the lines are split once, not once per line
+    return F.transform(F.array(F.split(text, "\n")), rest)[0]
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
