@@ -324,10 +324,18 @@ def _words(lines: Lines, chosen: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(lines.key[chosen]), words], ["key", "words"])
 
 
-def _close(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+def _wide_and_words(lines: Lines, chosen: np.ndarray) -> pa.RecordBatch:
+    wide, words = _wide(lines, chosen), _words(lines, chosen)
+    return pa.RecordBatch.from_arrays([*wide.columns, words.column(1)], [*wide.schema.names, "words"])
+
+
+_PARTS = [f"s{k}" for k in range(WIDE // 64)]
+_SIGNED = "key bigint, size bigint, " + ", ".join(f"{c} bigint" for c in _PARTS)
+
+
+def _close(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose wide signatures differ in no more bits than matching sets in words."""
-    parts = [f"s{k}" for k in range(WIDE // 64)]
-    sets = cut_lineage(_chosen(texts, pairs, _wide, "key bigint, size bigint, " + ", ".join(f"{c} bigint" for c in parts)))
+    parts = _PARTS
     x = sets.select(F.col("key").alias("a"), F.col("size").alias("n_a"), *[F.col(c).alias(f"{c}_a") for c in parts])
     y = sets.select(F.col("key").alias("b"), F.col("size").alias("n_b"), *[F.col(c).alias(f"{c}_b") for c in parts])
     differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in parts), F.lit(0))
@@ -337,8 +345,7 @@ def _close(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def matches(texts: DataFrame, levels: np.ndarray) -> DataFrame:
     """``a``, ``b``: all pairs of different sets whose similarity is SIMILARITY or more."""
-    pairs = cut_lineage(_candidates(texts, levels))
-    return _verified(texts, cut_lineage(_close(texts, pairs)))
+    return _matching(texts, cut_lineage(_candidates(texts, levels)))
 
 
 def late_sets(texts: DataFrame, levels: np.ndarray, firsts: DataFrame) -> DataFrame:
@@ -349,20 +356,29 @@ def late_sets(texts: DataFrame, levels: np.ndarray, firsts: DataFrame) -> DataFr
         b = firsts.select(F.col("key").alias("b"), F.col("first").alias("first_b"))
         return pairs.join(a, "a").join(b, "b").select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("key"))
 
-    led = _verified(texts, cut_lineage(_close(texts, cut_lineage(_leaders(texts)))))
+    # many leaders do not match, so words are read for those only that pass the signature
+    led = cut_lineage(_leaders(texts))
+    led = cut_lineage(_close(cut_lineage(_chosen(texts, led, _wide, _SIGNED)), led))
+    led = _verified(cut_lineage(_chosen(texts, led, _words, "key bigint, words array<bigint>")), led)
     settled = cut_lineage(later(led).distinct())
-    pairs = cut_lineage(_candidates(texts, levels, settled))
-    rest = _verified(texts, cut_lineage(_close(texts, pairs)))
+    rest = _matching(texts, cut_lineage(_candidates(texts, levels, settled)))
     return settled.unionByName(later(rest)).distinct()
 
 
-def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose similarity is SIMILARITY or more.
+def _matching(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose similarity is SIMILARITY or more; signatures and words come out of one pass over the texts."""
+    sets = cut_lineage(_chosen(texts, pairs, _wide_and_words, f"{_SIGNED}, words array<bigint>"))
+    close = cut_lineage(_close(sets, pairs))
+    asked = _in_bitmap(_bitmap(close.select(F.col("a").alias("x")).union(close.select("b"))), texts.sparkSession)
+    return _verified(cut_lineage(sets.where(asked("key")).select("key", "words")), close)
+
+
+def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose similarity is SIMILARITY or more; ``sets`` has the ``words`` of each ``key`` in them.
 
     The words of ``a`` come by a join, those of ``b`` in blocks of bounded size that every task
     holds, so no words travel once per pair.
     """
-    sets = cut_lineage(_chosen(texts, pairs, _words, "key bigint, words array<bigint>"))
     words = sets.agg(F.sum(F.size("words"))).first()[0] or 0
     blocks = max(1, math.ceil(words / BLOCK_WORDS))
     block = lambda name: F.pmod(F.xxhash64(name), F.lit(blocks))
