@@ -9,6 +9,7 @@ from adlens.operators import models as M
 from adlens.plans.export import export, refresh_comparables
 from adlens.sources import history, listings, pages, snapshots
 from adlens.streaming import ingest
+from adlens.streaming.admission import admit_stream
 
 
 def _ad(i, price, at):
@@ -57,6 +58,23 @@ def test_incremental_best_table(spark, tmp_path):
     assert best == {"1": 12.0, "2": 7.0}
 
 
+def test_late_events_are_decided_in_their_place(spark, tmp_path):
+    arrivals, out = str(tmp_path / "arrivals"), str(tmp_path / "decisions")
+    schema = "scope string, key string, ts timestamp, event_id bigint"
+    # 50, 55 and 105 come in a later file than 100 and 110; the last round ends the stream
+    rounds = [[(100, 1), (110, 2)], [(50, 3), (55, 4), (105, 5)], [(100_000, 6)]]
+    for events in rounds:
+        rows = spark.createDataFrame([("predict", "u", t, i) for t, i in events], "scope string, key string, t bigint, event_id bigint")
+        rows.select("scope", "key", F.timestamp_seconds("t").alias("ts"), "event_id").write.mode("append").parquet(arrivals)
+        stream = spark.readStream.schema(schema).parquet(arrivals)
+        admit_stream(stream, {"predict": (2, 60)}).writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option(
+            "path", out
+        ).option("checkpointLocation", str(tmp_path / "state")).start().awaitTermination()
+    found = {r.event_id: (r.allowed, r.ts.second) for r in spark.read.parquet(out).collect()}
+    assert {i: ok for i, (ok, _) in found.items()} == {3: True, 4: True, 1: False, 5: False, 2: True}
+    assert found[1][1] == 40
+
+
 def test_history_is_isolated(spark):
     reports = spark.createDataFrame(
         [(1, "2024-01-01T00:00:00+00:00", 14250.0, 10.0)], "user_id bigint, created_at string, predicted_price_eur double, threshold_percent double"
