@@ -75,8 +75,14 @@ class Lines:
     def __init__(self, texts: list[bytes], levels: np.ndarray | None = None):
         data = b"\n".join(texts)
         starts, hashes = word_hashes(data)
+        line = self._gather(hashes, np.cumsum(np.frombuffer(data, dtype=np.uint8) == 10, dtype=np.int32)[starts].astype(np.uint64), levels)
+        starts_of = np.cumsum([0] + [t.count(b"\n") + 1 for t in texts])
+        self.text = np.searchsorted(starts_of, line, "right") - 1
+        self.number = line - starts_of[self.text]
+
+    def _gather(self, hashes: np.ndarray, line: np.ndarray, levels: np.ndarray | None) -> np.ndarray:
+        """Sets of the hashes with the same line; returns the line of each set."""
         self.hashes = hashes
-        line = np.cumsum(np.frombuffer(data, dtype=np.uint8) == 10, dtype=np.int32)[starts].astype(np.uint64)
         rank = np.zeros(len(hashes), dtype=np.uint64) if levels is None else levels[_slot(hashes)].astype(np.uint64)
         if len(line) and int(line[-1]) >> 20:
             order = np.lexsort((hashes, rank, line))
@@ -91,9 +97,6 @@ class Lines:
         edge[1:] = line[1:] != line[:-1]
         self.begin = np.flatnonzero(edge)
         self.size = np.diff(np.append(self.begin, len(line)))
-        starts_of = np.cumsum([0] + [t.count(b"\n") + 1 for t in texts])
-        self.text = np.searchsorted(starts_of, line[self.begin], "right") - 1
-        self.number = line[self.begin] - starts_of[self.text]
         if len(self.begin):
             # a sum and a sum of bits modulo 2 do not depend on the order
             sums = np.add.reduceat(mix(self.words), self.begin)
@@ -102,6 +105,7 @@ class Lines:
         else:
             sums, self.signature = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
         self.key = mix(sums + self.size.astype(np.uint64)).view(np.int64)
+        return line[self.begin]
 
     def spans(self, lines: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indices into ``words`` of the first ``lengths`` words of the given lines, and where each line starts."""
@@ -117,7 +121,7 @@ def _new(keys: np.ndarray, seen: set[int]) -> np.ndarray:
     return np.array(fresh_ones, dtype=np.int64)
 
 
-def _scan(texts: DataFrame) -> DataFrame:
+def _scan(texts: DataFrame, kind_of: type[Lines] = Lines) -> DataFrame:
     """Two kinds of rows: a line with words (``id``, ``hash``, ``line``, ``key`` of its set), and per task and slot
     the number of words (``slot``, ``n``)."""
     names = ["id", "hash", "line", "key", "slot", "n"]
@@ -128,7 +132,7 @@ def _scan(texts: DataFrame) -> DataFrame:
         for batch in batches:
             kinds = [batch.column(0).type, batch.column(1).type]
             for first, held in text_groups(batch.column(2)):
-                lines = Lines(held)
+                lines = kind_of(held)
                 np.add.at(total, _slot(lines.hashes), 1)
                 n = len(lines.key)
                 at = pa.array(lines.text + first)
@@ -177,7 +181,7 @@ def _further(lines: Lines, chosen: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _postings(texts: DataFrame, levels: np.ndarray) -> DataFrame:
+def _postings(texts: DataFrame, levels: np.ndarray, kind_of: type[Lines] = Lines) -> DataFrame:
     """``word`` (a key to meet on), ``key``, ``signature``, ``place`` (size and place packed) and further signatures, per
     set once in a task."""
     further = [f"more{k}" for k in range(MORE)]
@@ -188,7 +192,7 @@ def _postings(texts: DataFrame, levels: np.ndarray) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             for _, held in text_groups(batch.column(0)):
-                lines = Lines(held, shared.value)
+                lines = kind_of(held, shared.value)
                 chosen = _new(lines.key, seen)
                 # sets of up to three words match equal sets only
                 chosen = chosen[lines.size[chosen] > 3]
@@ -216,7 +220,7 @@ def _postings(texts: DataFrame, levels: np.ndarray) -> DataFrame:
     return texts.select("t").mapInArrow(run, schema)
 
 
-def _leaders(texts: DataFrame) -> DataFrame:
+def _leaders(texts: DataFrame, kind_of: type[Lines] = Lines) -> DataFrame:
     """Pairs of a set ``a`` and the first set ``b`` (by id, then key) with two of its least words; at most a few per set."""
     words = [f"w{k}" for k in range(LEAST_WORDS)]
 
@@ -224,7 +228,7 @@ def _leaders(texts: DataFrame) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             for first, held in text_groups(batch.column(1)):
-                lines = Lines(held)
+                lines = kind_of(held)
                 chosen = _new(lines.key, seen)
                 chosen = chosen[lines.size[chosen] > 3]
                 if len(chosen):
@@ -247,13 +251,16 @@ def _leaders(texts: DataFrame) -> DataFrame:
     return bands.select("band", F.col("key").alias("a")).join(lead, "band").where("a <> b").select("a", "b").distinct()
 
 
-def _candidates(texts: DataFrame, levels: np.ndarray, settled: DataFrame | None = None) -> DataFrame:
-    """Pairs of sets (``a`` before ``b`` by size, then key) that pass all filters; not both of them are ``settled`` (keys)."""
-    rows = _postings(texts, levels)
+def _candidates(
+    texts: DataFrame, levels: np.ndarray, settled: DataFrame | None = None, kind_of: type[Lines] = Lines
+) -> DataFrame:
+    """Pairs of sets (``a`` before ``b`` by size, then key) that pass all filters. ``settled`` has ``key`` and
+    ``done``; a pair with equal ``done`` is left out."""
+    rows = _postings(texts, levels, kind_of)
     known = F.lit(False)
     if settled is not None:
-        rows = rows.join(settled.select("key", F.lit(True).alias("done")), "key", "left")
-        known = F.col("done_a").isNotNull() & F.col("done_b").isNotNull()
+        rows = rows.join(settled.select("key", "done"), "key", "left")
+        known = F.coalesce(F.col("done_a") == F.col("done_b"), F.lit(False))
     # one exchange serves the removal of copies from several tasks and both sides of the join
     rows = rows.repartition("word").dropDuplicates(["word", "key"])
     columns = [c for c in rows.columns if c != "word"]
@@ -287,7 +294,7 @@ def _bitmap(numbers: DataFrame) -> np.ndarray:
     return found
 
 
-def _chosen(texts: DataFrame, pairs: DataFrame, made, schema: str) -> DataFrame:
+def _chosen(texts: DataFrame, pairs: DataFrame, made, schema: str, kind_of: type[Lines] = Lines) -> DataFrame:
     """Rows of ``made(lines, chosen)`` for the sets of ``pairs`` (and a few more), one per set."""
     wanted = _bitmap(pairs.select(F.col("a").alias("x")).union(pairs.select("b")))
     shared = texts.sparkSession.sparkContext.broadcast(np.packbits(wanted))
@@ -297,7 +304,7 @@ def _chosen(texts: DataFrame, pairs: DataFrame, made, schema: str) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             for _, held in text_groups(batch.column(0)):
-                lines = Lines(held)
+                lines = kind_of(held)
                 slots = (lines.key.view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
                 chosen = np.flatnonzero(flags[slots])
                 yield made(lines, chosen[_new(lines.key[chosen], seen)])
@@ -361,13 +368,13 @@ def late_sets(texts: DataFrame, levels: np.ndarray, firsts: DataFrame) -> DataFr
     led = cut_lineage(_close(cut_lineage(_chosen(texts, led, _wide, _SIGNED)), led))
     led = _verified(cut_lineage(_chosen(texts, led, _words, "key bigint, words array<bigint>")), led)
     settled = cut_lineage(later(led).distinct())
-    rest = _matching(texts, cut_lineage(_candidates(texts, levels, settled)))
+    rest = _matching(texts, cut_lineage(_candidates(texts, levels, settled.withColumn("done", F.lit(True)))))
     return settled.unionByName(later(rest)).distinct()
 
 
-def _matching(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+def _matching(texts: DataFrame, pairs: DataFrame, kind_of: type[Lines] = Lines) -> DataFrame:
     """The pairs whose similarity is SIMILARITY or more; signatures and words come out of one pass over the texts."""
-    sets = cut_lineage(_chosen(texts, pairs, _wide_and_words, f"{_SIGNED}, words array<bigint>"))
+    sets = cut_lineage(_chosen(texts, pairs, _wide_and_words, f"{_SIGNED}, words array<bigint>", kind_of))
     close = cut_lineage(_close(sets, pairs))
     asked = _in_bitmap(_bitmap(close.select(F.col("a").alias("x")).union(close.select("b"))), texts.sparkSession)
     return _verified(cut_lineage(sets.where(asked("key")).select("key", "words")), close)

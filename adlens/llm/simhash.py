@@ -305,7 +305,11 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     of rows with equal id and text one stays.
     """
     marked = cut_lineage(fingerprints(docs, id_col, text_col))
-    rows = marked.join(_classes(marked).select("fp", "component"), "fp")
+    return keep_first(docs, marked.join(_classes(marked).select("fp", "component"), "fp"), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The first row of each ``component``; ``rows`` has ``id``, ``hash`` and ``component`` of every row of ``docs``."""
     first = rows.groupBy("component", "id", "hash").agg(F.count(F.lit(1)).alias("n"))
     chosen = first.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "hash", "n")).alias("x"))
     chosen = cut_lineage(chosen.select("x.id", "x.hash", "x.n"))

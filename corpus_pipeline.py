@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlens.llm import decontaminate, line_dedup, mixing, quality_ranker, simhash
+from adlens.llm import decontaminate, line_dedup, mixing, near_texts, quality_ranker
 from adlens.llm.common import table
 from adlens.session import cut_lineage
 
@@ -26,8 +26,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.drop_near_copies(docs)
+    """One document of each group of near copies stays: 0.8 or more of their runs of five words are the same."""
+    return near_texts.drop_near_copies(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from adlens.llm import decontaminate, line_dedup, simhash
+from adlens.llm import decontaminate, line_dedup, near_texts, simhash
 from adlens.llm.components import connected_components
 from adlens.llm.tokens import word_hashes
 
@@ -216,3 +216,50 @@ def test_pipeline_on_odd_rows_and_empty_tables(spark, docs, tmp_path):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
         kept = spark.createDataFrame(kept.collect(), kept.schema)
     assert kept.count() > 0 and "copies" in kept.columns
+
+
+def runs_of_five(text):
+    words = WORD.findall(low(text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def near_rows():
+    """Long texts with one to eight replaced words, and the odd rows of documents()."""
+    rng = random.Random(17)
+    words = vocabulary(2000, 17)
+    texts = []
+    for _ in range(40):
+        base = rng.choices(words, k=rng.randint(30, 200))
+        texts.append(" ".join(base))
+        for n in (1, 2, 4, 8):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), n):
+                copy[at] = rng.choice(words)
+            texts.append(" ".join(copy).upper() if n == 2 else "\n".join(copy))
+    return documents() + [(1000 + i, t, "en", "a", len(t), "clash", 7) for i, t in enumerate(texts)]
+
+
+def test_near_copies_of_the_pipeline_match_brute_force(spark):
+    rows = near_rows()
+    sets = [runs_of_five(r[1]) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    far = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                far += bin(reference_fingerprint(rows[i][1]) ^ reference_fingerprint(rows[j][1])).count("1") > simhash.TAU
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    least = {}
+    for i, r in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), 10**9), 10**9 if r[0] is None else r[0])
+    kept = [r.doc_id for r in corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, DOCS).repartition(3), "").collect()]
+    assert far > 20
+    assert sorted(10**9 if x is None else x for x in kept) == sorted(least.values())
+    assert near_texts.drop_near_copies(spark.createDataFrame([], DOCS)).count() == 0
