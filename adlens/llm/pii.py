@@ -3,7 +3,8 @@
 Entities are found by one expression. Each distinct entity of the table gets one
 surrogate, drawn from a keyed hash, of its kind and form: digits for digits, letters for
 letters of the same script and case, valid addresses and check digits, names of the same
-gender and script. The same entity has the same surrogate everywhere. Surrogates that
+gender and script. A name that stands behind a title somewhere is also replaced where it stands
+without one. The same entity has the same surrogate everywhere. Surrogates that
 two entities share, or that another entity of the table has, are drawn again until none is
 left, so different entities stay different.
 """
@@ -27,6 +28,10 @@ IP = r"(?<!\d)(?<!\d\.)(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[
 PHONE = (
     r"(?<![\d+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}(?!\d)"
     r"|(?<!\d)\(\d{3}\) ?\d{3}[\-.]\d{4}(?!\d)|(?<![\d\-])\d{3}-\d{3}-\d{4}(?![\d\-])"
+    r"|(?<![\d.])\d{3}\.\d{3}\.\d{4}(?![\d.]?\d)|(?<!\d)(?<!\d )\d{3} \d{3} \d{4}(?! ?\d)"
+    # national: a trunk prefix, nine to twelve digits, no date and no SSN
+    r"|(?<![\d+\-./(])(?<!\d )(?!\d{2}[\-./ ]\d{2}[\-./ ]\d{4})(?!\d{3}-\d{2}-\d{4}(?!\d))(?=\(?\d(?:[ /\-)]{0,2}\d){8,11}(?![ /\-]?\d))"
+    r"(?:\(0\d{1,4}\) ?|0\d{1,4}[ /\-])\d{2,8}(?:[ \-]\d{2,8}){0,4}"
 )
 CARD = r"(?<![\d+])(?:\d[ \-]?){12,18}\d(?!\d)"
 SSN = r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"
@@ -51,10 +56,20 @@ NAMES = {
         "last": "Белов Волков Громов Дубов Зимин Крылов Лебедь Мороз Орлов Соколенко".split(),
     },
 }
+#: letters without case by script; others of their kind become Latin
+CASELESS = [(rf"\p{{Is{script}}}", "".join(chr(k) for k in range(first, last + 1))) for script, first, last in (
+    ("Han", 0x4E00, 0x4EFF), ("Arabic", 0x641, 0x64A), ("Hebrew", 0x5D0, 0x5EA), ("Hiragana", 0x304B, 0x3062),
+    ("Katakana", 0x30AB, 0x30C2), ("Hangul", 0xAC00, 0xACFF), ("Thai", 0xE01, 0xE2E), ("Devanagari", 0x915, 0x939),
+)] + [(r"\p{Lo}|\p{Lm}|\p{Lt}", "abcdefghijklmnopqrstuvwxyz"), (r"\p{N}", "0123456789")]
 MAIL_DOMAINS = ["example.com", "example.net", "example.org"]
 
 _ANY_TITLE = "|".join(t.replace(".", r"\.") for kind in TITLES.values() for t in kind)
-PERSON = rf"(?<=(?<!\p{{L}})(?:{_ANY_TITLE}) )\p{{Lu}}\p{{Ll}}++(?: \p{{Lu}}\p{{Ll}}++)?+"
+#: one word of a name, also O'Brien, McDonald and Smith-Jones
+NAME = r"\p{Lu}(?:[\p{L}\p{M}]|['’](?=\p{Lu})|-(?=\p{L}))*+"
+NAME_WORDS = 4
+PERSON = rf"(?<=(?<!\p{{L}})(?:{_ANY_TITLE}) ){NAME}(?: {NAME}){{0,{NAME_WORDS - 1}}}+"
+#: where a name can stand without a title, if it has two words or more
+RUN = rf"(?<![\p{{L}}\p{{N}}]){NAME}(?: {NAME})++"
 PATTERN = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, IP, PHONE, SSN, CARD, PERSON))
 #: a text without any of these holds no entity
 HINT = rf"\d|@|(?i:token|secret|passw|key)|{_ANY_TITLE}"
@@ -69,7 +84,7 @@ def _kind(e: Column, title: Column) -> Column:
         .when(fits(SSN), "ssn")
         .when(F.startswith(e, F.lit("+")) | fits(PHONE), "phone")
         .when(fits(r"(?:\d[ \-]?){12,18}\d"), F.when(_luhn(digits) == 0, "card"))
-        .when(F.regexp_like(e, F.lit(r"^\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?$")) & (title != ""), F.concat(F.lit("person "), title))
+        .when(F.regexp_like(e, F.lit(rf"^{NAME}(?: {NAME})*$")) & (title != ""), F.concat(F.lit("person "), title))
         .otherwise("secret")
     )
 
@@ -94,14 +109,18 @@ def _number(stream: Column, i) -> Column:
     return F.conv(F.substr(stream, start.cast("int"), F.lit(4)), 16, 10).cast("int")
 
 
-def _like(text: Column, stream: Column, skip: int = 0, hexadecimal: bool = False) -> Column:
-    """Same form: digit for digit, letter for letter of the same script and case."""
+def _like(text: Column, stream: Column, skip: int = 0, hexadecimal: bool = False, caseless: bool = False) -> Column:
+    """Same form: digit for digit, letter for letter of the same script and case; letters of
+    scripts without case only if ``caseless``."""
     ranges = [("[0-9]", 48, 10), ("[a-z]", 97, 6 if hexadecimal else 26), ("[A-Z]", 65, 6 if hexadecimal else 26),
               (r"[а-я]", 0x430, 32), (r"[А-Я]", 0x410, 32), (r"[α-ρσ-ω]", 0x3B1, 17),
               (r"[Α-Ρ]", 0x391, 17), (r"\p{Ll}", 97, 26), (r"\p{Lu}", 65, 26)]
 
     def one(c: Column, i: Column) -> Column:
         out = c
+        for pattern, letters in reversed(CASELESS if caseless else []):
+            new = F.substr(F.lit(letters), _number(stream, i) % len(letters) + 1, F.lit(1))
+            out = F.when(F.regexp_like(c, F.lit(f"^{pattern}$")), new).otherwise(out)
         for pattern, base, size in reversed(ranges):
             if base < 128:
                 new = F.char(F.lit(base) + _number(stream, i) % size)
@@ -125,10 +144,10 @@ def _surrogate(e: Column, kind: Column, draw: Column, key: str) -> Column:
         F.length(c) == 2, 10 + _number(s, i) % 90).otherwise(_number(s, i) % 10)
     any_octet = lambda c, i: _number(s, i) % 256
     octets = lambda f: F.array_join(F.transform(F.split(e, r"\."), lambda c, i: f(c, i).cast("string")), ".")
-    local = _like(F.substring_index(e, "@", 1), s)
+    local = _like(F.substring_index(e, "@", 1), s, caseless=True)
     mail = F.concat(F.when(wide, F.concat(local, F.substr(s, F.lit(1), F.lit(16)))).otherwise(local),
                     F.lit("@mail"), (_number(s, 35) % 10).cast("string"), F.lit("."), _pick(MAIL_DOMAINS, s, 36))
-    country = F.regexp_extract(e, r"^(\+\d{1,3}(?=[ .\-(]))?", 1)
+    country = F.regexp_extract(e, r"^(\+\d{1,3}(?=[ .\-(])|\(?0)?", 1)
     phone = F.concat(country, _like(F.substr(e, F.length(country) + 1), s))
     # all digits but the last are drawn, the last one makes the number valid
     drawn = _like(F.substr(e, F.lit(1), F.length(e) - 1), s)
@@ -195,6 +214,28 @@ def _title_kind(before: Column) -> Column:
     return out
 
 
+def _parts(run: Column) -> Column:
+    """All stretches of two to NAME_WORDS words of a run."""
+    words = F.split(run, " ")
+    return F.flatten(F.transform(F.sequence(F.lit(2), F.least(F.lit(NAME_WORDS), F.size(words))), lambda n: F.transform(
+        F.sequence(F.lit(0), F.size(words) - n), lambda at: F.array_join(F.slice(words, at + 1, n), " ")
+    )))
+
+
+def _known(runs: DataFrame, pieces: DataFrame, given: DataFrame) -> DataFrame:
+    """``id``, ``hash`` and ``names`` (name to surrogate) of the texts that can hold a name without a title.
+
+    A name of two words or more counts in every text, a single word only in a text that has it
+    behind a title, as many last names are common words.
+    """
+    persons = given.where(F.startswith("kind", F.lit("person")))
+    here = pieces.where(F.startswith("kind", F.lit("person"))).select("id", "hash", "entity")
+    there = runs.select("id", "hash", F.explode(F.array_distinct(F.flatten(F.transform("runs", lambda run: _parts(run))))).alias("entity"))
+    there = there.join(persons.select("entity"), "entity", "left_semi").select("id", "hash", "entity")
+    every = here.unionByName(there).distinct().join(persons, "entity")
+    return every.groupBy("id", "hash").agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("names"))
+
+
 def replace_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
     """``docs`` with every entity replaced, and ``n_entities``, how many there were.
 
@@ -214,20 +255,37 @@ def replace_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ).alias("at", "x")).select("id", "hash", "at", "x.entity", _kind(F.col("x.entity"), F.col("x.title")).alias("kind"))
     pieces = cut_lineage(pieces.where(F.col("kind").isNotNull()).distinct())
     # one kind per entity: names under different titles are one person
-    kinds = pieces.groupBy("entity").agg(F.min("kind").alias("kind"))
-    given = assign_surrogates(kinds, key).select("entity", "surrogate")
-    placed = pieces.join(given, "entity").groupBy("id", "hash").agg(
+    # and a gender that is known somewhere holds everywhere
+    kinds = pieces.groupBy("entity").agg(F.min(F.struct((F.col("kind") == "person any").alias("open"), "kind")).alias("x"))
+    given = assign_surrogates(kinds.select("entity", "x.kind"), key).select("entity", "kind", "surrogate")
+    placed = pieces.join(given.select("entity", "surrogate"), "entity").groupBy("id", "hash").agg(
         F.map_from_entries(F.sort_array(F.collect_set(F.struct("at", "surrogate")))).alias("new")
     )
-    i, h, new = fresh(docs, "pii_id", "pii_hash", "pii_new")
-    marks = placed.toDF(i, h, new)
+    runs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.regexp_extract_all(text, F.lit(RUN), F.lit(0)).alias("runs"))
+    known = _known(runs.where(F.size("runs") > 0), pieces, given)
+    i, h, new, names = fresh(docs, "pii_id", "pii_hash", "pii_new", "pii_names")
+    k = known.toDF("known_id", "known_hash", "names")
+    marks = placed.join(k, placed["id"].eqNullSafe(k["known_id"]) & (placed["hash"] == k["known_hash"]), "full").select(
+        F.when(F.col("hash").isNull(), F.col("known_id")).otherwise(F.col("id")), F.coalesce("hash", "known_hash"), "new", "names"
+    ).toDF(i, h, new, names)
     joined = docs.join(marks, docs[id_col].eqNullSafe(marks[i]) & (F.xxhash64(docs[text_col]) == marks[h]), "left")
     found, gaps = _entities(text), F.split(text, PATTERN, -1)
     words = F.transform(found, lambda e, k: F.coalesce(F.try_element_at(F.col(new), k), e))
-    rebuilt = F.array_join(F.zip_with(gaps, words, lambda g, e: F.concat(g, F.coalesce(e, F.lit("")))), "")
-    n = F.coalesce(F.greatest(F.size(new), F.lit(0)), F.lit(0)).cast("bigint")
+    # longer names first; names hold nothing that a pattern reads otherwise
+    longest = F.reverse(F.transform(F.array_sort(F.transform(F.map_keys(names), lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))), lambda x: x["x"]))
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(longest, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+
+    def untitled(gap: Column) -> Column:
+        swapped = F.transform(F.regexp_extract_all(gap, pattern, F.lit(0)), lambda x: F.try_element_at(F.col(names), x))
+        return F.array_join(F.zip_with(F.split(gap, pattern, -1), swapped, lambda g, e: F.concat(g, F.coalesce(e, F.lit("")))), "")
+
+    gap = lambda g: F.when(F.col(names).isNull(), g).otherwise(untitled(g))
+    rebuilt = F.array_join(F.zip_with(gaps, words, lambda g, e: F.concat(gap(g), F.coalesce(e, F.lit("")))), "")
+    more = F.when(F.col(names).isNull(), 0).otherwise(F.aggregate(gaps, F.lit(0), lambda n, g: n + F.regexp_count(g, pattern)))
+    n = F.greatest(F.coalesce(F.size(new), F.lit(0)), F.lit(0)) + more
+    changed = F.col(new).isNotNull() | F.col(names).isNotNull()
     return joined.select(
-        *[F.when(F.col(new).isNotNull(), rebuilt).otherwise(text).alias(c) if c == text_col else docs[c]
+        *[F.when(changed, rebuilt).otherwise(text).alias(c) if c == text_col else docs[c]
           for c in docs.columns if c.lower() != "n_entities"],
-        F.when(F.col(new).isNull(), F.lit(0)).otherwise(n).cast("bigint").alias("n_entities"),
+        F.when(changed, n).otherwise(F.lit(0)).cast("bigint").alias("n_entities"),
     )

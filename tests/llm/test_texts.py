@@ -217,3 +217,24 @@ def test_surrogates_stay_distinct_in_small_forms(spark):
     df = spark.createDataFrame([(x, "ip") for x in some], "entity string, kind string")
     got = pii.assign_surrogates(df).collect()
     assert len(got) == len(some) == len({r.surrogate for r in got}) and not {r.surrogate for r in got} & set(some)
+
+
+def test_names_without_titles_and_further_forms(spark):
+    rows = [
+        (0, "Mrs. Jane Doe called. Jane Doe said that Jane Doering left"),
+        (1, "Only Jane Doe here, no title."),
+        (2, "Dr. Anna Maria Schmidt, Mr. Smith-Jones and Herr O'Brien; O'Brien came"),
+        (3, "Prof. Jane Doe. O'Brien is free here"),
+        (4, "mail 王小明@corp.example.cn and علي@corp.example.org"),
+        (5, "call 0176 12345678 or 743.555.3824 or (089) 1234567 on 01-02-2020 10:00, SSN 078-05-1120"),
+    ]
+    out = {r.doc_id: r for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)).collect()}
+    t = {i: r.text for i, r in out.items()}
+    name = re.match(r"Mrs\. (\S+ \S+) called\. (\S+ \S+) said that Jane Doering left$", t[0])
+    assert name[1] == name[2] != "Jane Doe" and name[1].split()[0] in pii.NAMES["latin"]["female"]
+    assert t[1] == f"Only {name[1]} here, no title." and t[3] == f"Prof. {name[1]}. O'Brien is free here"
+    assert not re.search("Schmidt|Maria|Jones|Brien", t[2]) and len(set(re.findall(r"Herr (\w+); (\w+) came", t[2])[0])) == 1
+    assert not re.search("[王小明علي]", t[4]) and len(re.search(r"mail (\S+)@", t[4])[1]) == 3
+    assert re.fullmatch(r"call 0\d{3} \d{8} or \d{3}\.\d{3}\.\d{4} or \(0\d\d\) \d{7} on 01-02-2020 10:00, SSN \d{3}-\d\d-\d{4}", t[5])
+    assert not re.search("12345678|555|1234567|05-1120", t[5])
+    assert [out[i].n_entities for i in range(6)] == [2, 1, 4, 1, 2, 4]
