@@ -24,6 +24,8 @@ WINDOW = 3
 STRETCH_CHARS = 80
 STRETCH_SHARE = 0.2
 LINK_SHARE = 0.5
+#: a line with so many characters outside its links is text, whatever its links
+SENTENCE = 25
 
 # ---- fixed values: elements, roles and class words
 RAW = "script style noscript template svg math iframe object canvas textarea title xmp".split()
@@ -43,6 +45,14 @@ CLASS_WORDS = (
     "subscribe subscription toolbar widget"
 ).split()
 
+#: a class or id that starts so says what stands around or inside an element, not what it is
+AROUND = "has with without no not elementor".split()
+#: noise only as the first part of a class or id
+FIRST_ONLY = ["widget"]
+#: raw elements that end at the next block if they are never closed
+LOOSE = "svg math noscript object canvas iframe template".split()
+HEADINGS = "h1 h2 h3 h4 h5 h6".split()
+
 _RAW, _LEFT_OUT, _VOID, _BLOCK, _ARTICLE = set(RAW), set(LEFT_OUT), set(VOID), set(BLOCK), set(ARTICLE)
 _ROLES, _WORDS = set(ROLES), set(CLASS_WORDS)
 # quoted values may hold a closing angle bracket; possessive, so a broken tag costs one pass
@@ -69,7 +79,11 @@ def _is_noise(name: str, attributes: str, in_article: bool) -> bool:
         if key == "role" and value.strip().lower() in _ROLES:
             return True
         if key in ("class", "id"):
-            words = set(_PART.findall(_CAMEL.sub(" ", value).lower()))
+            words = set()
+            for token in value.split():
+                parts = _PART.findall(_CAMEL.sub(" ", token).lower())
+                if parts and parts[0] not in AROUND:
+                    words.update(parts[:1], (x for x in parts[1:] if x not in FIRST_ONLY))
             if name in _ARTICLE and not in_article:
                 # an article that is about adverts is still the article
                 words &= {"comment", "comments"}
@@ -80,15 +94,18 @@ def _is_noise(name: str, attributes: str, in_article: bool) -> bool:
 
 def _tokens(page: str):
     """(text before, slash, name, attributes) of every tag; the last one has no name."""
-    at = 0
+    at, unclosed = 0, set()
     while (m := _TAG.search(page, at)) is not None:
         name = (m[2] or "").lower()
         yield page[at : m.start()], m[1] or "", name, m[3] or ""
         at = m.end()
         if name in _RAW and not m[1] and not (m[3] or "").endswith("/"):
-            # what stands inside is no markup; without an end tag it is the rest of the page
-            end = _RAW_END[name].search(page, at)
-            at = end.start() if end else len(page)
+            # what stands inside is no markup; without an end tag it is the rest of the page, or of the block
+            end = None if name in unclosed else _RAW_END[name].search(page, at)
+            if end is None and name in LOOSE:
+                unclosed.add(name)
+            else:
+                at = end.start() if end else len(page)
     yield page[at:], "", "", ""
 
 
@@ -111,11 +128,33 @@ def _closed(tokens: list) -> list[int]:
     return ends
 
 
-def lines_of(page: str) -> list[tuple[str, bool, int]]:
-    """(text, inside an article, characters in links) per line; left-out parts are empty lines."""
+def _holding(tokens: list, ends: list[int]) -> set[int]:
+    """Elements that hold an article, but not those that are left out by their name."""
+    found, open_ends = set(), []
+    for i, (_, slash, name, attributes) in enumerate(tokens):
+        while open_ends and open_ends[-1][1] <= i:
+            open_ends.pop()
+        if slash or not name or not ends[i]:
+            continue
+        if name in _ARTICLE and not _is_noise(name, attributes, False):
+            # a named part is no wrapper, and neither is what stands in it
+            named = [k for k, (at, _) in enumerate(open_ends) if tokens[at][2] in _LEFT_OUT and tokens[at][2] != "form"]
+            if not named:
+                found.update(at for at, _ in open_ends)
+        open_ends.append((i, ends[i]))
+    return found
+
+
+def lines_of(page: str, open_wrappers: bool = False) -> list[tuple[str, bool, int, bool]]:
+    """(text, inside an article, characters in links, heading) per line; left-out parts are empty lines.
+
+    With ``open_wrappers`` elements that hold an article are not left out.
+    """
     tokens = list(_tokens(page))
     ends = _closed(tokens)
-    lines: list[tuple[str, bool, int]] = []
+    wrappers = _holding(tokens, ends) if open_wrappers else set()
+    lines: list[tuple[str, bool, int, bool]] = []
+    heading = False
     parts: list[str] = []
     linked = 0
     article_end = skip_end = link_end = -1
@@ -125,7 +164,7 @@ def lines_of(page: str) -> list[tuple[str, bool, int]]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            lines.append((text, inside, min(linked, len(text))))
+            lines.append((text, inside, min(linked, len(text)), heading))
         parts.clear()
         linked = 0
 
@@ -140,17 +179,21 @@ def lines_of(page: str) -> list[tuple[str, bool, int]]:
         if name in _BLOCK:
             flush(inside)
             until_block = False
+            heading = name in HEADINGS and not slash
         if slash:
             continue
+        if name in LOOSE and not ends[i] and not attributes.endswith("/"):
+            until_block = True
+            continue
         if name in _ARTICLE and not inside and ends[i] != 0 and not _is_noise(name, attributes, False):
             article_end = ends[i]
-            lines.extend([("", False, 0)] * WINDOW)
+            lines.extend([("", False, 0, False)] * WINDOW)
         elif name in _ARTICLE and not inside and not _is_noise(name, attributes, False):
             article_end = len(tokens)
-            lines.extend([("", False, 0)] * WINDOW)
-        elif name not in _VOID and _is_noise(name, attributes, inside):
+            lines.extend([("", False, 0, False)] * WINDOW)
+        elif name not in _VOID and i not in wrappers and _is_noise(name, attributes, inside):
             flush(inside)
-            lines.extend([("", False, 0)] * WINDOW)
+            lines.extend([("", False, 0, False)] * WINDOW)
             if ends[i]:
                 skip_end = ends[i]
             else:
@@ -159,7 +202,7 @@ def lines_of(page: str) -> list[tuple[str, bool, int]]:
         elif name == "a" and ends[i]:
             link_end = ends[i]
         if i == article_end:
-            lines.extend([("", False, 0)] * WINDOW)
+            lines.extend([("", False, 0, False)] * WINDOW)
     flush(article_end >= len(tokens))
     return lines
 
@@ -181,17 +224,27 @@ def stretches(lengths: list[int]) -> list[tuple[int, int]]:
 def main_text(page: str | None) -> str:
     """Text of the article, blocks joined by one blank; empty for NULL and for pages without text."""
     lines = lines_of(page or "")
-    marked = any(inside and text for text, inside, _ in lines)
+    marked = any(line[1] for line in lines)
+    if not marked:
+        # the article may stand in an element that looks like noise
+        opened = lines_of(page or "", True)
+        marked = any(line[1] for line in opened)
+        lines = opened if marked else lines
     if marked:
-        lengths = [len(text) if inside else 0 for text, inside, _ in lines]
+        lengths = [len(text) if inside else 0 for text, inside, _, _ in lines]
     else:
         # lines of links are menus
-        lengths = [len(text) if links < LINK_SHARE * len(text) else 0 for text, _, links in lines]
+        menu = lambda text, links: links >= LINK_SHARE * len(text) and len(text) - links < SENTENCE
+        lengths = [0 if menu(text, links) else len(text) for text, _, links, _ in lines]
     runs = stretches(lengths)
     if not marked and runs:
         chars = [sum(lengths[a:b]) for a, b in runs]
         strong = [i for i, n in enumerate(chars) if n >= STRETCH_CHARS or n >= STRETCH_SHARE * max(chars)]
-        runs = runs[strong[0] : strong[-1] + 1]
+        first = strong[0]
+        # a heading belongs to what follows it
+        while first and any(lines[k][3] and lengths[k] for k in range(*runs[first - 1])):
+            first -= 1
+        runs = runs[first : strong[-1] + 1]
     return " ".join(lines[k][0] for a, b in runs for k in range(a, b) if lengths[k])
 
 

@@ -238,3 +238,25 @@ def test_names_without_titles_and_further_forms(spark):
     assert re.fullmatch(r"call 0\d{3} \d{8} or \d{3}\.\d{3}\.\d{4} or \(0\d\d\) \d{7} on 01-02-2020 10:00, SSN \d{3}-\d\d-\d{4}", t[5])
     assert not re.search("12345678|555|1234567|05-1120", t[5])
     assert [out[i].n_entities for i in range(6)] == [2, 1, 4, 1, 2, 4]
+
+
+LONG = "long text " * 20 + "end."
+ODD_PAGES = [
+    ("wrapper", "<div class='page has-sidebar'><article><p>One</p></article></div>", "One"),
+    ("noisy wrapper", "<div class='sidebar'><article><p>One</p></article></div><p>Other</p>", "One"),
+    ("form", "<form id='all'><main><p>One</p></main></form>", "One"),
+    ("builder", "<div class='elementor-widget'><p>One</p></div>", "One"),
+    ("kept part", "<article><div class='entry with-comments'><p>One</p></div><div class='comments'>No</div></article>", "One"),
+    ("noise stays", "<div class='sidebar widget'>No</div><article><div class='my-cookie-notice'>No</div><p>One</p></article>", "One"),
+    ("teasers", f"<aside><article>No</article></aside><p>{LONG}</p>", LONG),
+    ("title", f"<h1>Title</h1><div class='share'>Share</div><p>{LONG}</p>", f"Title {LONG}"),
+    ("links", f"<p>{LONG}</p><p>The plain words that come before this <a href='/'>sentence that has a much longer link in it</a></p>", f"{LONG} The plain words that come before this sentence that has a much longer link in it"),
+    ("svg", "<article><p>One <svg><path d='x'>icon<p>Two</p><p>Three <math>x</p><p>Four</p></article>", "One Two Three Four"),
+    ("self-closed", "<article><p>One <svg/> two</p></article>", "One two"),
+    ("never closed", "<article>" + "<svg>" * 50_000 + "<p>One</p></article>", "One"),
+]
+
+
+@pytest.mark.parametrize("name, page, text", ODD_PAGES)
+def test_page_text_of_odd_pages(name, page, text):
+    assert html_text.main_text(page) == text
