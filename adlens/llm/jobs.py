@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adlens.llm import chat, decision_list, decontaminate, html_text, line_dedup, mixing, pii, quality_ranker, simhash, url_rules
+from adlens.llm import (
+    chat, decision_list, decontaminate, html_text, line_dedup, mixing, pii, quality_ranker, simhash, token_alignment, url_rules,
+)
 from adlens.llm.common import table
 
 
@@ -63,9 +65,13 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.replace_pii(table(spark, folder, "documents")).select("doc_id", "text", "n_entities")
 
 
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return token_alignment.link_statistics(table(spark, folder, "documents"))
+
+
 JOBS = [
     op1_simhash, op2_line_dedup, op3_html_text, op4_mixing, op5_url_rules, op6_decontaminate, op7_chat, op8_quality,
-    op9_rules, op10_pii,
+    op9_rules, op10_pii, op12_token_alignment,
 ]
 
 
