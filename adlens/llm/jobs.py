@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adlens.llm import (
-    chat, decision_list, decontaminate, html_text, line_dedup, mixing, pii, quality_ranker, simhash, token_alignment, url_rules,
+    chat, decision_list, decontaminate, html_text, lexical_search, line_dedup, mixing, pii, quality_ranker, simhash,
+    token_alignment, url_rules,
 )
 from adlens.llm.common import table
 
@@ -69,9 +70,13 @@ def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return token_alignment.link_statistics(table(spark, folder, "documents"))
 
 
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 JOBS = [
     op1_simhash, op2_line_dedup, op3_html_text, op4_mixing, op5_url_rules, op6_decontaminate, op7_chat, op8_quality,
-    op9_rules, op10_pii, op12_token_alignment,
+    op9_rules, op10_pii, op12_token_alignment, op13_lexical_search,
 ]
 
 

@@ -81,5 +81,28 @@ def _chat() -> str:
           length(formatted) AS formatted_chars FROM grouped"""
 
 
+def _search() -> str:
+    terms = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS row, doc_id, {terms} AS terms FROM documents WHERE text IS NOT NULL),
+        s AS (SELECT count(*)::BIGINT AS docs, sum(len(terms))::BIGINT AS words FROM d WHERE len(terms) > 0),
+        p AS (
+          SELECT row, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*)::BIGINT AS tf
+          FROM (SELECT row, doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM d) GROUP BY row, term),
+        w AS (
+          SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, s GROUP BY term, docs),
+        shares AS (
+          SELECT row, doc_id, p.term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // words))) AS part
+          FROM p JOIN w USING (term), s),
+        i AS (
+          SELECT item, item_id, term, count(*)::BIGINT AS times
+          FROM (SELECT row_number() OVER () AS item, item_id, unnest({terms}) AS term FROM benchmark) GROUP BY item, item_id, term),
+        scored AS (SELECT item, item_id, row, doc_id, sum(times * part)::BIGINT AS score FROM i JOIN shares USING (term) GROUP BY item, item_id, row, doc_id),
+        ranked AS (
+          SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score
+          FROM scored WHERE score > 0)
+        SELECT * FROM ranked WHERE rank <= 10"""
+
+
 def statements() -> dict[str, str]:
-    return {"op4_mixing": _mixing(), "op5_url_rules": _urls(), "op7_chat": _chat()}
+    return {"op13_lexical_search": _search(), "op4_mixing": _mixing(), "op5_url_rules": _urls(), "op7_chat": _chat()}

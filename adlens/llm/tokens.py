@@ -35,10 +35,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _piece(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _piece(data: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inside = np.empty(len(data) + 2, dtype=bool)
     inside[0] = inside[-1] = False
-    np.logical_not(SPACE[data], out=inside[1:-1])
+    np.logical_not(space[data], out=inside[1:-1])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[0::2], edges[1::2]
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
@@ -46,25 +46,25 @@ def _piece(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, mix((sums[ends] - sums[starts]) * _power("down", _INVERSE, len(data))[starts])
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: bytes, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Where each word of a UTF-8 text starts, and its hash with A-Z in lower case.
 
-    A hash of 64 bits stands for the word. The text is taken in pieces that end at white
-    space, so memory stays small unless a single word is long.
+    A hash of 64 bits stands for the word. ``space`` marks the bytes that part words. The text
+    is taken in pieces that end at such a byte, so memory stays small unless a single word is long.
     """
     array = np.frombuffer(data, dtype=np.uint8)
     if len(array) <= PIECE:
-        return _piece(array)
+        return _piece(array, space)
     starts, hashes, at = [], [], 0
     while at < len(array):
         end = min(len(array), at + PIECE)
         while end < len(array):
-            gap = np.flatnonzero(SPACE[array[end : end + PIECE]])
+            gap = np.flatnonzero(space[array[end : end + PIECE]])
             if len(gap):
                 end += int(gap[0])
                 break
             end = min(len(array), end + PIECE)
-        s, h = _piece(array[at:end])
+        s, h = _piece(array[at:end], space)
         starts.append(s + at)
         hashes.append(h)
         at = end
