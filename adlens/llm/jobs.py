@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adlens.llm import (
-    chat, decision_list, decontaminate, html_text, lexical_search, line_dedup, mixing, pii, quality_ranker, simhash,
-    token_alignment, url_rules,
+    chat, decision_list, decontaminate, html_text, learned_partitions, lexical_search, line_dedup, mixing, pii, quality_ranker,
+    simhash, token_alignment, url_rules,
 )
 from adlens.llm.common import table
 
@@ -66,6 +66,10 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.replace_pii(table(spark, folder, "documents")).select("doc_id", "text", "n_entities")
 
 
+def op11_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return learned_partitions.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return token_alignment.link_statistics(table(spark, folder, "documents"))
 
@@ -76,7 +80,7 @@ def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
 
 JOBS = [
     op1_simhash, op2_line_dedup, op3_html_text, op4_mixing, op5_url_rules, op6_decontaminate, op7_chat, op8_quality,
-    op9_rules, op10_pii, op12_token_alignment, op13_lexical_search,
+    op9_rules, op10_pii, op11_nearest_vectors, op12_token_alignment, op13_lexical_search,
 ]
 
 
