@@ -7,8 +7,9 @@ as held-out sample vectors need for the wanted recall, and all rows found there
 ranked by the exact measure.
 
 Equal vectors are searched for once, and of equal vectors only as many rows as an answer
-can hold are filed, so copies cost nothing. Large parts are cut into chunks, and the
-queries of a part into blocks, so a task holds a bounded piece of both.
+can hold are filed, so copies cost nothing. Parts next to each other share a shelf, which
+answers a query once for all of them. Large shelves are cut into chunks, and the queries
+of a shelf into blocks, so a task holds a bounded piece of both.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ SAMPLE, SAMPLE_BYTES = 16_384, 64 << 20
 PART_ROWS, MOST_PARTS, LEAST_SAMPLE = 1024, 256, 64
 #: share of a held-out vector's neighbours in the sample that its parts must hold, on average
 TARGET = 0.94
-#: rows and queries that meet in a task
-CHUNK_ROWS, QUERY_BLOCK = 8192, 2048
+#: parts share a shelf of about so many rows; a task ranks a shelf, or a chunk of a large one, for a block of queries
+SHELF_ROWS, QUERY_BLOCK = 16_384, 1024
 #: a part may be larger than the mean by this factor
 SLACK = 1.1
 HIDDEN, BATCH, STEPS, HELD_OUT = 128, 256, 2000, 8
@@ -127,6 +128,8 @@ class Router:
     def __init__(self, sample: np.ndarray, rows: int, k: int):
         wanted = min(MOST_PARTS, len(sample) // LEAST_SAMPLE, math.ceil(2 * rows / PART_ROWS))
         self.parts = 1 << max(0, wanted.bit_length() - 1)
+        # the first cuts are the low bits of a part, so parts that share them lie together
+        self.shelves = min(self.parts, 1 << max(0, math.ceil(math.log2(max(1, rows) / SHELF_ROWS))))
         self.probes = 1
         if self.parts == 1:
             return
@@ -165,40 +168,70 @@ def _usable(v: Column) -> Column:
     return v.isNotNull() & finite & F.exists(v, lambda x: x != 0)
 
 
-def _filed(rows: DataFrame, router, dims: int, many: bool) -> DataFrame:
-    """Rows with ``part``: the one they lie in, or a row for each one to look into."""
+def _filed(rows: DataFrame, router, dims: int) -> DataFrame:
+    """Rows with the ``part`` they lie in and its ``shelf``."""
+
+    def run(batches):
+        known = router.value
+        for batch in batches:
+            part = np.concatenate([known.part_of(_matrix(batch.column("v").slice(a, 4096), dims)) for a in range(0, max(1, batch.num_rows), 4096)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32)), pa.array((part % known.shelves).astype(np.int32))],
+                                             [*batch.schema.names, "part", "shelf"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, f"{schema}, part int, shelf int")
+
+
+def _routed(queries: DataFrame, router, dims: int) -> DataFrame:
+    """A row per query and ``shelf`` with the ``parts`` of it to look into."""
 
     def run(batches):
         known = router.value
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 piece = batch.slice(at, 4096)
-                x = _matrix(piece.column("v"), dims)
-                parts = known.parts_for(x) if many else known.part_of(x)[:, None]
-                taken = pa.array(np.repeat(np.arange(len(x)), parts.shape[1]))
-                yield pa.RecordBatch.from_arrays([*(c.take(taken) for c in piece.columns), pa.array(parts.ravel().astype(np.int32))],
-                                                 [*piece.schema.names, "part"])
+                parts = known.parts_for(_matrix(piece.column("v"), dims))
+                key = (np.arange(len(parts))[:, None] * known.shelves + parts % known.shelves).ravel()
+                order = np.argsort(key, kind="stable")
+                key, first = np.unique(key[order], return_index=True)
+                lists = pa.ListArray.from_arrays(np.append(first, len(order)).astype(np.int32), pa.array(parts.ravel()[order].astype(np.int32)))
+                taken = pa.array(key // known.shelves)
+                yield pa.RecordBatch.from_arrays([*(c.take(taken) for c in piece.columns), lists, pa.array((key % known.shelves).astype(np.int32))],
+                                                 [*piece.schema.names, "parts", "shelf"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{schema}, part int")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in queries.schema.fields)
+    return queries.mapInArrow(run, f"{schema}, parts array<int>, shelf int")
 
 
 def _rank_cell(dims: int, k: int):
-    """Function over the queries and rows of one cell: the ``k`` best rows of each query."""
+    """Function over the queries and rows of one cell: the ``k`` best rows of each query in its parts."""
 
     def run(key, queries: pa.Table, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("part")
         q, x = _matrix(queries["v"], dims), _matrix(rows["v"], dims)
-        near = q @ x.T
-        least = np.partition(near, -k, axis=1)[:, -k] if len(x) > k else np.full(len(q), -np.inf)
-        # the product rounds by place: what could still tie is ranked by sums in a fixed order
-        noise = 1e-12 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
-        one, other = np.nonzero(near >= (least - noise)[:, None])
+        part = rows["part"].to_numpy()
+        asked = queries["parts"].combine_chunks()
+        asking = np.repeat(np.arange(len(q)), np.diff(asked.offsets.to_numpy()))
+        parts = asked.flatten().to_numpy()
+        one, other = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for p in np.unique(part):
+            who, a, b = asking[parts == p], *np.searchsorted(part, [p, p + 1])
+            if not len(who):
+                continue
+            near = q[who] @ x[a:b].T
+            # the product rounds by place: what could still tie is ranked by sums in a fixed order
+            noise = 1e-12 * np.linalg.norm(q[who], axis=1) * np.linalg.norm(x[a:b], axis=1).max()
+            least = np.partition(near, -k, axis=1)[:, -k] - noise if b - a > k else np.full(len(who), -np.inf)
+            i, j = np.nonzero(near >= least[:, None])
+            one.append(who[i])
+            other.append(j + a)
+        one, other = np.concatenate(one), np.concatenate(other)
         score = np.empty(len(one))
         for a in range(0, len(one), 65_536):
             score[a : a + 65_536] = np.cumsum(q[one[a : a + 65_536]] * x[other[a : a + 65_536]], axis=1)[:, -1]
-        ids = rows["vec_id"].to_numpy(zero_copy_only=False)
+        ids = rows["vec_id"].fill_null(0).to_numpy()
         no_id = rows["vec_id"].is_null().to_numpy()
-        order = np.lexsort((rows["row"].to_numpy()[other], np.where(no_id, 0, ids)[other], no_id[other], -score, one))
+        order = np.lexsort((rows["row"].to_numpy()[other], ids[other], no_id[other], -score, one))
         one, other, score = one[order], other[order], score[order]
         first = np.arange(len(one)) - np.searchsorted(one, one) < k
         other = pa.array(other[first])
@@ -246,20 +279,20 @@ def search(
     sample = _matrix(chosen["v"], dims)[np.argsort(chosen["cls"].to_numpy())]
     router = spark.sparkContext.broadcast(Router(sample, distinct, k))
 
-    rows = cut_lineage(_filed(kept, router, dims, many=False))
-    queries = cut_lineage(_filed(classes.where("asked").select("cls", "v"), router, dims, many=True))
-    # one row per part
-    cut = rows.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).cast("int").alias("chunks")).join(
-        queries.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("blocks")), "part"
+    rows = cut_lineage(_filed(kept, router, dims))
+    queries = cut_lineage(_routed(classes.where("asked").select("cls", "v"), router, dims))
+    # one row per shelf
+    cut = rows.groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / (2 * SHELF_ROWS)).cast("int").alias("chunks")).join(
+        queries.groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("blocks")), "shelf"
     )
     cut = F.broadcast(cut)
     numbers = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    dealt_rows = rows.join(cut, "part").withColumn("chunk", deal("row", "chunks")).withColumn("block", F.explode(numbers("blocks")))
-    dealt_queries = queries.join(cut, "part").withColumn("block", deal("cls", "blocks")).withColumn("chunk", F.explode(numbers("chunks")))
-    cell = ["part", "chunk", "block"]
-    found = dealt_queries.select(*cell, "cls", "v").groupBy(*cell).cogroup(
-        dealt_rows.select(*cell, "vec_id", "row", "v").groupBy(*cell)
+    dealt_rows = rows.join(cut, "shelf").withColumn("chunk", deal("row", "chunks")).withColumn("block", F.explode(numbers("blocks")))
+    dealt_queries = queries.join(cut, "shelf").withColumn("block", deal("cls", "blocks")).withColumn("chunk", F.explode(numbers("chunks")))
+    cell = ["shelf", "chunk", "block"]
+    found = dealt_queries.select(*cell, "cls", "v", "parts").groupBy(*cell).cogroup(
+        dealt_rows.select(*cell, "vec_id", "row", "v", "part").groupBy(*cell)
     ).applyInArrow(_rank_cell(dims, k + 1), "cls bigint, vec_id bigint, row bigint, score double")
 
     best_first = Window.partitionBy("cls").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "row")
