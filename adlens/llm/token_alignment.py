@@ -1,7 +1,7 @@
 """Tokens of two tokenizers laid over each other, and how often their ids meet.
 
 Both tokenizers cut the same bytes. The places where a token of each ends are the common
-keys of two dictionaries from end to index; between two such places lies a group, a
+keys of two dictionaries from end to index, taken in order; between two such places lies a group, a
 slice of both id lists. Every token of a group is linked to every token of the other side.
 
 Links are counted over the whole corpus. Rows are packed in blocks: a block knows the
@@ -14,9 +14,10 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import os
 from collections.abc import Iterator
-from itertools import accumulate, count
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,33 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(moved)}
 
 
+# fixed value: how byte-level vocabularies of this family cut a text before merging
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _ranked(path: str, special: set[int], bytes_of: list[bytes]):
+    """An encoder by ranks where the file's merges are its ids in order, which is faster; else None."""
+    with open(path, encoding="utf-8") as file:
+        stated = json.load(file)
+    vocabulary, merges = stated["model"]["vocab"], stated["model"]["merges"]
+    joined = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in merges]
+    before = stated["pre_tokenizer"] or {}
+    plain = stated["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+    ranks = {token: i for i, token in enumerate(bytes_of) if i not in special}
+    if not plain or len(ranks) != 256 + len(merges) or any(vocabulary.get(m) != 256 + k for k, m in enumerate(joined)):
+        return None
+    import tiktoken
+
+    return tiktoken.Encoding("ranks", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def _dictionary(lengths: np.ndarray, size: int) -> np.ndarray:
+    """End of each token -> index behind it. An end is its own hash value: the dictionary is an array by end, 0 where none is."""
+    index = np.zeros(size + 1, np.int64)
+    index[np.cumsum(lengths)] = np.arange(1, len(lengths) + 1)
+    return index
+
+
 class Pair:
     """Two tokenizers with the bytes of every id."""
 
@@ -64,40 +92,50 @@ class Pair:
             bytes([int(piece[3:-1], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
             for i, piece in enumerate(self.b.id_to_piece(list(range(self.b.get_piece_size()))))
         ]
-        self.len_a, self.len_b = [len(t) for t in self.bytes_a], [len(t) for t in self.bytes_b]
+        self.ranked = _ranked(path_a, set(self.a.get_added_tokens_decoder()), self.bytes_a)
+        self.len_a, self.len_b = (np.array([len(t) for t in table]) for table in (self.bytes_a, self.bytes_b))
         self.size_a, self.size_b = len(self.bytes_a), len(self.bytes_b)
         # ids as text behind each separator, for the written form of the groups
-        self.written = [f"{sign}{i}" for sign, n in ((",", self.size_a), (";", self.size_a), (",", self.size_b), ("|", self.size_b)) for i in range(n)]
+        signs = ((",", self.size_a), (";", self.size_a), (",", self.size_b), ("|", self.size_b))
+        self.written = np.array([f"{sign}{i}" for sign, n in signs for i in range(n)], object)
+        self.pieces = np.array(self.bytes_b, object)
 
-    def align(self, texts: list[str]) -> Iterator[tuple[list[int], list[int], list[int], list[int]]]:
+    def _ids_a(self, text: str) -> list[int]:
+        if self.ranked:
+            return self.ranked.encode_ordinary(text)
+        return self.a.encode(text, add_special_tokens=False).ids
+
+    def align(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Ids of both sides and the index behind each group's last token, per text."""
-        encoded = zip(texts, self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False), self.b.encode(texts, num_threads=1))
-        for text, a, ids_b in encoded:
-            ids_a, whole = a.ids, f" {text}".encode()
-            same = text and b"".join(map(self.bytes_a.__getitem__, ids_a)) == whole
-            if not (same and b"".join(map(self.bytes_b.__getitem__, ids_b)) == whole):
-                yield [], [], [], []
+        nothing = np.zeros(0, np.int64)
+        for text, ids_b in zip(texts, self.b.encode(texts, num_threads=1)):
+            whole = f" {text}".encode()
+            b = np.array(ids_b, np.int64)
+            if not text or b"".join(self.pieces[b].tolist()) != whole:
+                yield nothing, nothing, nothing, nothing
+                continue
+            a = np.array(self._ids_a(f" {text}"), np.int64)
+            if not self.ranked and b"".join(map(self.bytes_a.__getitem__, a.tolist())) != whole:
+                yield nothing, nothing, nothing, nothing
                 continue
-            ends_a = dict(zip(accumulate(map(self.len_a.__getitem__, ids_a)), count(1)))
-            ends_b = dict(zip(accumulate(map(self.len_b.__getitem__, ids_b)), count(1)))
-            common = sorted(ends_a.keys() & ends_b.keys())
-            yield ids_a, ids_b, [ends_a[e] for e in common], [ends_b[e] for e in common]
+            ends_a, ends_b = _dictionary(self.len_a[a], len(whole)), _dictionary(self.len_b[b], len(whole))
+            common = np.flatnonzero((ends_a > 0) & (ends_b > 0))
+            yield a, b, ends_a[common], ends_b[common]
 
     def links(self, a: np.ndarray, b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct linked id pairs, as ``a * size_b + b`` in ascending order, and how often each is linked."""
-        starts_a, starts_b = np.concatenate([[0], cuts_a[:-1]]), np.concatenate([[0], cuts_b[:-1]])
-        n_a, n_b = cuts_a - starts_a, cuts_b - starts_b
+        n_a, n_b = np.diff(cuts_a, prepend=0), np.diff(cuts_b, prepend=0)
         large = n_a * n_b > LARGE_GROUP
-        inside = ~np.repeat(large, n_a)
-        partners = np.repeat(n_b, n_a)[inside]
-        step = np.arange(partners.sum()) - np.repeat(np.cumsum(partners) - partners, partners)
-        code = np.repeat(a[inside], partners) * self.size_b + b[np.repeat(np.repeat(starts_b, n_a)[inside], partners) + step]
+        # partners of each token of side a, and where they begin
+        partners, begin = np.repeat(np.where(large, 0, n_b), n_a), np.repeat(cuts_b - n_b, n_a)
+        ends = np.cumsum(partners)
+        code = np.repeat(a * self.size_b, partners) + b[np.arange(ends[-1]) + np.repeat(begin - ends + partners, partners)]
         if not large.any():
             return np.unique(code, return_counts=True)
         codes, times = [code], [np.ones(len(code), np.int64)]
         for g in np.flatnonzero(large):
-            one, of_one = np.unique(a[starts_a[g] : cuts_a[g]], return_counts=True)
-            other, of_other = np.unique(b[starts_b[g] : cuts_b[g]], return_counts=True)
+            one, of_one = np.unique(a[cuts_a[g] - n_a[g] : cuts_a[g]], return_counts=True)
+            other, of_other = np.unique(b[cuts_b[g] - n_b[g] : cuts_b[g]], return_counts=True)
             codes.append((one[:, None] * self.size_b + other).ravel())
             times.append((of_one[:, None] * of_other).ravel())
         code, where = np.unique(np.concatenate(codes), return_inverse=True)
@@ -107,14 +145,14 @@ class Pair:
 
     def digest(self, a: np.ndarray, b: np.ndarray, cuts_a: np.ndarray, cuts_b: np.ndarray) -> str:
         """SHA-256 of the groups written as ``a1,a2|b1;a3|b2,b3``."""
-        starts_a, starts_b = np.concatenate([[0], cuts_a[:-1]]), np.concatenate([[0], cuts_b[:-1]])
-        n_a, n_b = cuts_a - starts_a, cuts_b - starts_b
+        n_a, n_b = np.diff(cuts_a, prepend=0), np.diff(cuts_b, prepend=0)
+        entry_a, entry_b = a.copy(), b + 2 * self.size_a
+        entry_a[cuts_a - n_a] += self.size_a
+        entry_b[cuts_b - n_b] += self.size_b
         entry = np.empty(len(a) + len(b), np.int64)
-        first_a, first_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-        first_a[starts_a], first_b[starts_b] = self.size_a, self.size_b
-        entry[np.arange(len(a)) + np.repeat(starts_b, n_a)] = a + first_a
-        entry[np.arange(len(b)) + np.repeat(cuts_a, n_b)] = 2 * self.size_a + b + first_b
-        return hashlib.sha256("".join(map(self.written.__getitem__, entry.tolist()))[1:].encode()).hexdigest()
+        entry[np.arange(len(a)) + np.repeat(cuts_b - n_b, n_a)] = entry_a
+        entry[np.arange(len(b)) + np.repeat(cuts_a, n_b)] = entry_b
+        return hashlib.sha256("".join(self.written[entry].tolist())[1:].encode()).hexdigest()
 
 
 @functools.lru_cache(maxsize=2)
@@ -220,7 +258,7 @@ def _packed(rows: DataFrame, path_a: str, path_b: str) -> DataFrame:
             for first, texts in _portions(batch.column(1).to_pylist()):
                 taken = first
                 for k, found in enumerate(pair.align(texts), first):
-                    a, b, cuts_a, cuts_b = (np.array(x, np.int64) for x in found)
+                    a, b, cuts_a, cuts_b = found
                     code, times = pair.links(a, b, cuts_a, cuts_b) if len(a) else (a, b)
                     block.add((len(a), len(b), len(cuts_a), int(times.sum()), pair.digest(a, b, cuts_a, cuts_b) if len(a) else ""), code, times)
                     if block.size >= BLOCK_LINKS:
