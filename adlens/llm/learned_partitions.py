@@ -31,6 +31,8 @@ PART_ROWS, MOST_PARTS, LEAST_SAMPLE = 1024, 256, 64
 TARGET = 0.94
 #: parts share a shelf of about so many rows; a task ranks a shelf, or a chunk of a large one, for a block of queries
 SHELF_ROWS, QUERY_BLOCK = 16_384, 1024
+#: bytes of a shelf's vectors as doubles; long vectors make shelves of fewer rows
+SHELF_BYTES = 32 << 20
 #: a part may be larger than the mean by this factor
 SLACK = 1.1
 HIDDEN, BATCH, STEPS, HELD_OUT = 128, 256, 2000, 8
@@ -87,6 +89,10 @@ def balanced_parts(vectors: np.ndarray, graph: np.ndarray, parts: int, sweeps: i
     return part
 
 
+def shelf_rows(dims: int) -> int:
+    return max(1, min(SHELF_ROWS, SHELF_BYTES // (8 * dims)))
+
+
 class Network:
     """One hidden layer and a probability per part; learnt from shares of parts."""
 
@@ -129,7 +135,7 @@ class Router:
         wanted = min(MOST_PARTS, len(sample) // LEAST_SAMPLE, math.ceil(2 * rows / PART_ROWS))
         self.parts = 1 << max(0, wanted.bit_length() - 1)
         # the first cuts are the low bits of a part, so parts that share them lie together
-        self.shelves = min(self.parts, 1 << max(0, math.ceil(math.log2(max(1, rows) / SHELF_ROWS))))
+        self.shelves = min(self.parts, 1 << max(0, math.ceil(math.log2(max(1, rows) / shelf_rows(sample.shape[1])))))
         self.probes = 1
         if self.parts == 1:
             return
@@ -282,7 +288,7 @@ def search(
     rows = cut_lineage(_filed(kept, router, dims))
     queries = cut_lineage(_routed(classes.where("asked").select("cls", "v"), router, dims))
     # one row per shelf
-    cut = rows.groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / (2 * SHELF_ROWS)).cast("int").alias("chunks")).join(
+    cut = rows.groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / (2 * shelf_rows(dims))).cast("int").alias("chunks")).join(
         queries.groupBy("shelf").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("blocks")), "shelf"
     )
     cut = F.broadcast(cut)
