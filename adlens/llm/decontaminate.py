@@ -23,8 +23,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from adlens.llm.tokens import mix, text_groups, word_hashes
 
-#: 1: the word counts, 0: any word; six words count in each mask
-MASKS = ("111111", "11011011", "110100111", "10110010011")
+#: 1: the word counts, 0: any word. Every overlap that `verify` accepts is hit: a longer one holds a stretch of 13 to 25
+#: words with the wanted share, and the tests lay the masks along all of those
+MASKS = ("111111", "11011011", "110100111", "10110010011", "1101010011")
+#: the same for items of up to LEAST_WORDS words
+SHORT_MASKS = ("1111", "11011", "11101", "10111")
 #: an overlap of so many words is evidence, or the whole item if it is shorter
 LEAST_WORDS = 13
 SIMILARITY = 0.8
@@ -39,54 +42,76 @@ def normalized(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\p{M}]+", " ")
 
 
-def _seeds(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Hash of the masked words from every position on."""
-    n = len(hashes) - int(offsets[-1])
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
+def _offsets(mask: str) -> np.ndarray:
+    return np.array([i for i, c in enumerate(mask) if c == "1"])
+
+
+def _seeds(hashes: np.ndarray, offsets: np.ndarray, mask: int) -> np.ndarray:
+    """Hash of the masked words from every position on; masks by number hash alike words differently."""
+    n = max(0, len(hashes) - int(offsets[-1]))
     total = np.zeros(n, dtype=np.uint64)
-    for k, offset in enumerate(offsets):
-        total += hashes[offset : offset + n] * np.uint64(2 * int(mix(np.array([k + 1]))[0] >> np.uint64(1)) | 1)
-    return mix(total + np.uint64(len(offsets)))
+    factors = mix(np.arange(64 * mask, 64 * mask + len(offsets), dtype=np.uint64) + np.uint64(1)) | np.uint64(1)
+    for offset, factor in zip(offsets, factors):
+        total += hashes[offset : offset + n] * factor
+    return total
 
 
 class Items:
-    """Seeds of a block of test items, sorted for look-up."""
+    """Seeds of a block of test items under all masks, sorted for look-up behind a filter by their first bits."""
 
     def __init__(self, items: list[tuple]):
         self.ids = [x[0] for x in items]
         self.words = [x[1] for x in items]
-        self.offsets = [np.array([i for i, c in enumerate(m) if c == "1"]) for m in MASKS]
-        self.seeds = [self._sorted(offsets, range(len(items))) for offsets in self.offsets]
-        # items too short for the masks are looked for with runs of four words
-        short = [i for i, w in enumerate(self.words) if len(w) <= LEAST_WORDS]
-        if short:
-            self.offsets.append(np.arange(SHORTEST_ITEM - 1))
-            self.seeds.append(self._sorted(self.offsets[-1], short))
-
-    def _sorted(self, offsets: np.ndarray, which) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Seed, item and place, ordered by seed."""
-        parts = [(s := _seeds(self.words[i], offsets), np.full(len(s), i), np.arange(len(s))) for i in which]
-        if not parts:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        seed, item, place = (np.concatenate(x) for x in zip(*parts))
+        sizes = np.array([len(w) for w in self.words], dtype=np.int64)
+        owner = np.repeat(np.arange(len(items)), sizes)
+        begin = np.cumsum(sizes) - sizes
+        masks = MASKS + (SHORT_MASKS if (sizes <= LEAST_WORDS).any() else ())
+        self.offsets = [_offsets(m) for m in masks]
+        hashes = np.concatenate([*self.words, np.zeros(0, dtype=np.uint64)])
+        seeds, places = [], []
+        for m, offsets in enumerate(self.offsets):
+            seed = _seeds(hashes, offsets, m)
+            at = np.flatnonzero(owner[: len(seed)] == owner[int(offsets[-1]) :][: len(seed)])
+            if m >= len(MASKS):
+                at = at[sizes[owner[at]] <= LEAST_WORDS]
+            seeds.append(seed[at])
+            places.append(at)
+        seed, at = (np.concatenate([*x]) for x in (seeds, places)) if items else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         order = np.argsort(seed, kind="stable")
-        return seed[order], item[order], place[order]
-
-    def hits(self, hashes: np.ndarray) -> set[tuple[int, int]]:
-        """(item, place in the text where its first word would stand)."""
-        found: set[tuple[int, int]] = set()
+        self.known, at = seed[order], at[order]
+        self.item = owner[at]
+        self.place = at - begin[self.item]
+        bits = max(16, int(len(seed)).bit_length() + 2)
+        self.shift = np.uint64(64 - bits)
+        self.filter = np.zeros(1 << bits, dtype=bool)
+        self.filter[self.known >> self.shift] = True
+
+    def hits(self, hashes: np.ndarray, owner: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Rows (text, item, place in the text where the item's first word would stand), each once, in order.
+
+        ``hashes`` are the words of some texts on end, ``owner`` the text of a word, ``begin`` a text's first word."""
+        found = [np.zeros((0, 3), dtype=np.int64)]
         for m, offsets in enumerate(self.offsets):
-            s = _seeds(hashes, offsets)
-            known, item, place = self.seeds[m]
-            if not len(s) or not len(known):
-                continue
-            low = np.searchsorted(known, s, "left")
-            at = np.flatnonzero(known[np.minimum(low, len(known) - 1)] == s)
-            high = np.searchsorted(known, s[at], "right")
-            for k, a, b in zip(at, low[at], high):
-                found.update(zip(item[a:b].tolist(), (k - place[a:b]).tolist()))
-        return found
+            seed = _seeds(hashes, offsets, m)
+            at = np.flatnonzero(self.filter[seed >> self.shift])
+            at = at[owner[at] == owner[at + offsets[-1]]]
+            low = np.searchsorted(self.known, seed[at], "left")
+            count = np.searchsorted(self.known, seed[at], "right") - low
+            index = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            at = np.repeat(at, count)
+            found.append(np.stack([owner[at], self.item[index], at - begin[owner[at]] - self.place[index]], axis=1))
+        return np.unique(np.concatenate(found), axis=0)
+
+    def overlaps(self, texts: list[bytes]) -> Iterator[tuple[int, int, tuple[int, int, int]]]:
+        """(text, item, what `verify` says) of every place where an item is found, ordered by text and item."""
+        starts, hashes = word_hashes(b"\n".join(texts))
+        owner = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, "right")
+        ends = np.cumsum(np.bincount(owner, minlength=len(texts)))
+        begin = np.concatenate([[0], ends[:-1]])
+        for text, item, start in self.hits(hashes, owner, begin).tolist():
+            seen = self.verify(hashes[begin[text] : ends[text]], item, start)
+            if seen:
+                yield text, item, seen
 
     def verify(self, hashes: np.ndarray, item: int, start: int) -> tuple[int, int, int] | None:
         """(first word, words, equal words) of the longest good stretch of the overlap."""
@@ -151,16 +176,14 @@ def find_leaks(
             for batch in batches:
                 where, out = [], []
                 for first, texts in text_groups(batch.column(batch.num_columns - 1)):
-                    for k, data in enumerate(texts):
-                        hashes = word_hashes(data)[1]
-                        best: dict[int, tuple] = {}
-                        for item, start in sorted(items.hits(hashes)):
-                            seen = items.verify(hashes, item, start)
-                            if seen and (item not in best or (seen[2], -seen[0]) > (best[item][2], -best[item][0])):
-                                best[item] = seen
-                        for item, seen in sorted(best.items()):
-                            where.append(first + k)
-                            out.append((items.ids[item], *seen))
+                    best: dict[tuple[int, int], tuple] = {}
+                    for text, item, seen in items.overlaps(texts):
+                        held = best.get((text, item))
+                        if held is None or (seen[2], -seen[0]) > (held[2], -held[0]):
+                            best[text, item] = seen
+                    for (text, item), seen in best.items():
+                        where.append(first + text)
+                        out.append((items.ids[item], *seen))
                 if not out:
                     continue
                 taken = pa.array(where, type=pa.int64())
@@ -180,11 +203,10 @@ def _is_clean(shared):
     def clean(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         items = Items(shared.value)
         for column in columns:
-            out = []
-            for value in column:
-                hashes = word_hashes(value.as_py())[1]
-                out.append(not any(items.verify(hashes, i, s) for i, s in items.hits(hashes)))
-            yield pa.array(out, type=pa.bool_())
+            good = np.ones(len(column), dtype=bool)
+            for first, texts in text_groups(column):
+                good[[first + text for text, _, _ in items.overlaps(texts)]] = False
+            yield pa.array(good)
 
     return F.arrow_udf(clean, "boolean")
 
@@ -192,6 +214,8 @@ def _is_clean(shared):
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no test item is found, with all their columns.
 
+    NULL and empty texts stay, repeated rows stay or go together, NULL ids matter nothing. An
+    empty table gives an empty table, an empty benchmark gives all rows.
     The decision needs a row's own text only, so rows are filtered where they are read:
     one pass per block of test items, nothing is shuffled.
     """

@@ -1,5 +1,6 @@
 """Near copies, line dedup, leaks and the pipeline against brute force."""
 
+import itertools
 import random
 import re
 
@@ -204,6 +205,87 @@ def test_leaks_with_replaced_words(spark):
     assert decontaminate.find_leaks(d, b.limit(0)).count() == 0 and decontaminate.drop_leaks(d, b.limit(0)).count() == len(docs)
 
 
+def test_masks_hit_every_overlap_that_counts():
+    def hit(n, replaced, masks):
+        for mask in masks:
+            counted = [i for i, c in enumerate(mask) if c == "1"]
+            if any(replaced.isdisjoint(k + i for i in counted) for k in range(n - len(mask) + 1)):
+                return True
+        return False
+
+    # 26 words and more hold a stretch of 13 to 25 words with the same share or a better one
+    for n in range(decontaminate.SHORTEST_ITEM, 2 * decontaminate.LEAST_WORDS):
+        masks = decontaminate.MASKS + (decontaminate.SHORT_MASKS if n < decontaminate.LEAST_WORDS else ())
+        for replaced in itertools.combinations(range(n), n // 5):
+            assert hit(n, set(replaced), masks), (n, replaced)
+
+
+def leaks_by_brute_force(docs, items):
+    """(document, item, first word, words, equal words) of the best place, every item laid at every place."""
+    split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    out = []
+    for doc_id, text in docs:
+        words = split(text)
+        for item_id, item_text in items:
+            item, best = split(item_text), None
+            if len(item) < 5:
+                continue
+            need = min(13, len(item))
+            for start in range(-len(item) + 1, len(words)):
+                a, b = max(0, start), min(len(words), start + len(item))
+                equal = [words[i] == item[i - start] for i in range(a, b)]
+                spans = [(a, b)] if sum(equal) >= 0.8 * len(equal) else [
+                    (a + x, a + y) for x in range(len(equal)) for y in range(x + need, len(equal) + 1) if sum(equal[x:y]) >= 0.8 * (y - x) - 1e-9
+                ]
+                spans = [(x, y) for x, y in spans if y - x >= need]
+                if spans:
+                    x, y = max(spans, key=lambda p: (p[1] - p[0], -p[1]))
+                    seen = (sum(equal[x - a : y - a]), -x, y - x)
+                    best = seen if best is None or seen[:2] > best[:2] else best
+            if best:
+                out.append((doc_id, item_id, -best[1], best[2], best[0]))
+    return out
+
+
+def test_leaks_match_brute_force(spark):
+    rng = random.Random(31)
+    words = vocabulary(400, 31)
+    items = [(i, " ".join(rng.choices(words, k=n))) for i, n in enumerate([5, 7, 10, 13, 14, 15, 16, 20, 25, 31, 60])]
+    items += [(50, items[9][1]), (51, None), (52, "")]
+    docs = [(200, None), (201, ""), (202, "w " * 400)]
+    for i in range(110):
+        body = rng.choices(words, k=rng.choice([0, 30, 60]))
+        leak = items[i % 11][1].split()
+        for at in rng.sample(range(len(leak)), rng.randint(0, len(leak) // 4 + 1)):
+            leak[at] = rng.choice(words)
+        # now and then a part of the item only, and the same text twice
+        leak = leak[: rng.choice([len(leak), len(leak), 13, 14])]
+        at = rng.randrange(len(body) + 1)
+        body[at:at] = leak
+        docs += [(i, " ".join(body))] * (1 + (i % 40 == 0))
+    want = sorted(leaks_by_brute_force(docs, items))
+    # columns with the names of the result are not looked at
+    table = spark.createDataFrame([(*d, "clash", -1) for d in docs], "doc_id bigint, text string, item_id string, first_word int").repartition(3)
+    given = spark.createDataFrame(items, "item_id bigint, text string")
+    got = sorted(tuple(r) for r in decontaminate.find_leaks(table, given).collect())
+    assert got == want and 40 < len(want) < 110 + 20
+    clean = sorted(r.doc_id for r in decontaminate.drop_leaks(table, given).collect())
+    assert clean == sorted(d for d, _ in docs if d not in {w[0] for w in want})
+
+
+def test_leaks_in_a_very_long_text_and_without_ids(spark):
+    rng = random.Random(5)
+    words = vocabulary(3000, 5)
+    leak = " ".join(rng.choices(words, k=20))
+    long = rng.choices(words, k=400_000)
+    long[399_000:399_000] = leak.split()
+    docs = spark.createDataFrame([(None, " ".join(long)), (None, leak), (None, None), (1, leak)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(None, leak), (3, leak)], "item_id bigint, text string")
+    got = sorted(((r.doc_id, r.item_id, r.first_word) for r in decontaminate.find_leaks(docs, items).collect()), key=repr)
+    assert got == sorted([(d, i, at) for d, at in [(None, 399_000), (None, 0), (1, 0)] for i in (None, 3)], key=repr)
+    assert [tuple(r) for r in decontaminate.drop_leaks(docs, items).collect()] == [(None, None)]
+
+
 def test_pipeline_on_odd_rows_and_empty_tables(spark, docs, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, i % 4 > 0, 0) for i in range(30)], "doc_id bigint, q boolean, toxic int").select(
