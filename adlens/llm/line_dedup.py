@@ -65,6 +65,21 @@ def _slot(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
+def _settle_ties(line: np.ndarray, rank: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Order in which words of one line whose hashes agree in the upper 32 bits stand by their whole hashes."""
+    order = np.arange(len(hashes))
+    upper = hashes >> np.uint64(32)
+    tied = (line[1:] == line[:-1]) & (rank[1:] == rank[:-1]) & (upper[1:] == upper[:-1])
+    if (tied & (hashes[1:] != hashes[:-1])).any():
+        # only runs of ties are sorted again; they stay where they stand
+        in_run = np.zeros(len(hashes), dtype=bool)
+        in_run[1:] |= tied
+        in_run[:-1] |= tied
+        at = np.flatnonzero(in_run)
+        order[at] = at[np.lexsort((hashes[at], rank[at], line[at]))]
+    return order
+
+
 class Lines:
     """Word sets of the lines of some texts, all lines at once.
 
@@ -87,8 +102,9 @@ class Lines:
         if len(line) and int(line[-1]) >> 20:
             order = np.lexsort((hashes, rank, line))
         else:
-            # 20 bits of line, 12 of rarity, 32 of hash; equal words stand side by side
+            # 20 bits of line, 12 of rarity, 32 of hash: one sort instead of three
             order = np.argsort(line << np.uint64(44) | rank << np.uint64(32) | hashes >> np.uint64(32))
+            order = order[_settle_ties(line[order], rank[order], hashes[order])]
         line, hashes = line[order].astype(np.int64), hashes[order]
         first = np.ones(len(line), dtype=bool)
         first[1:] = (line[1:] != line[:-1]) | (hashes[1:] != hashes[:-1])

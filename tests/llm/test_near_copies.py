@@ -120,6 +120,15 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
 
 
+def test_words_whose_hashes_agree_in_the_upper_half_are_told_apart(monkeypatch):
+    hashes = np.array([5, 9, 5, 9, 5, 9, 5, 7 << 40], dtype=np.uint64) + np.uint64(1 << 60)
+    monkeypatch.setattr(line_dedup, "word_hashes", lambda data: (np.array([0, 2, 4, 6, 8, 10, 12, 14]), hashes))
+    for levels in (None, np.zeros(1 << line_dedup.SLOT_BITS, dtype=np.uint16)):
+        lines = line_dedup.Lines([b"a b a b a\nb a c"], levels)
+        assert lines.size.tolist() == [2, 3]
+        assert [sorted(x.tolist()) for x in np.split(lines.words, lines.begin[1:])] == [sorted(set(hashes[:5].tolist())), sorted(set(hashes[5:].tolist()))]
+
+
 def removed_by_brute_force(rows):
     places = []
     for r in rows:
