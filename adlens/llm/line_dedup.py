@@ -23,7 +23,6 @@ comes earlier, by document and place. Steps:
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,10 +41,6 @@ STEPS = 64
 #: words of a slot with more words than this are common
 COMMON = 1_000_000
 MAP_BITS = 22
-#: words of sets that go to the tasks at once when pairs are verified
-BLOCK_WORDS = 2_000_000
-#: such blocks in one job
-BLOCKS = 4
 #: bits of the signature that candidates must pass before their words are read
 WIDE = 512
 KEY_BITS = 40
@@ -399,30 +394,19 @@ def _matching(texts: DataFrame, pairs: DataFrame, kind_of: type[Lines] = Lines)
 def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose similarity is SIMILARITY or more; ``sets`` has the ``words`` of each ``key`` in them.
 
-    The words of ``a`` come by a join, those of ``b`` in blocks of bounded size that every task
-    holds, so no words travel once per pair.
+    Both sides come by a join on the key of a set: nothing is held whole by the driver or by a task.
     """
-    words = sets.agg(F.sum(F.size("words"))).first()[0] or 0
-    blocks = max(1, math.ceil(words / BLOCK_WORDS))
-    block = lambda name: F.pmod(F.xxhash64(name), F.lit(blocks))
+    x = sets.select(F.col("key").alias("a"), F.col("words").alias("x"))
+    y = sets.select(F.col("key").alias("b"), F.col("words").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - shared
-    joined = None
-    for start in range(0, blocks, BLOCKS):
-        held = block("b").between(start, start + BLOCKS - 1)
-        here = pairs.where(held).join(sets.select(F.col("key").alias("a"), F.col("words").alias("x")), "a")
-        for k in range(start, min(blocks, start + BLOCKS)):
-            right = sets.where(block("key") == k).select(F.col("key").alias("b"), F.col("words").alias("y"))
-            part = here.where(block("b") == k).join(F.broadcast(right), "b").where(shared >= SIMILARITY * union - 1e-9).select("a", "b")
-            found = part if k == start else found.unionByName(part)
-        found = cut_lineage(found)
-        joined = found if joined is None else joined.unionByName(found)
-    return joined
+    return pairs.join(x, "a").join(y, "b").where(shared >= SIMILARITY * union - 1e-9).select("a", "b")
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = True) -> DataFrame:
-    """``id``, ``hash`` (of the text), ``repeats`` (numbers of the lines that go, from 0) and ``n_links`` (pairs
-    of different word sets that the text's sets belong to) of every text that has any of them. Without
+    """``id``, ``hash`` (of the text), ``repeats`` (numbers of the lines that go, from 0) and ``n_links`` (for
+    each of its lines the other lines of the table that match it, equal ones included; out of counts per set, copies
+    are not expanded) of every text that has any of them. Without
     ``counts`` the same lines go, but not all pairs are looked for and ``n_links`` is 0."""
     texts = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("t")
@@ -442,10 +426,10 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ends = found.select(F.col("a").alias("key"), F.col("b").alias("other")).unionByName(
         found.select(F.col("b").alias("key"), F.col("a").alias("other"))
     )
-    met = ends.join(firsts.select(F.col("key").alias("other"), F.col("first").alias("met")), "other")
-    near = met.groupBy("key").agg(F.min("met").alias("met"), F.count(F.lit(1)).alias("links"))
+    met = ends.join(firsts.select(F.col("key").alias("other"), F.col("first").alias("met"), F.col("copies").alias("met_copies")), "other")
+    near = met.groupBy("key").agg(F.min("met").alias("met"), F.sum("met_copies").alias("links"))
     earliest = firsts.join(near, "key", "left").where("copies > 1 or links is not null").select(
-        "key", F.least("first", F.coalesce("met", "first")).alias("first"), F.coalesce("links", F.lit(0)).alias("links")
+        "key", F.least("first", F.coalesce("met", "first")).alias("first"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")
     )
     judged = lines.select("id", "hash", "line", "key").join(earliest, "key")
     gone = F.when(place > F.col("first"), F.col("line"))

@@ -159,6 +159,22 @@ def test_line_dedup_matches_brute_force(spark, monkeypatch, common):
     assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_links_of_lines_match_brute_force(spark):
+    rows = [(r[0], r[1]) for r in documents(4)] + [(500, "a b c d e\nE d c b a\na  b c d e"), (501, "e a b c d"), (None, "e a b c d\n\nf")]
+    lines = [(i, frozenset(WORD.findall(low(x)))) for i, r in enumerate(rows) for x in (r[1] or "").split("\n")]
+    lines = [x for x in lines if x[1]]
+    want = [0] * len(rows)
+    for at, (i, x) in enumerate(lines):
+        want[i] += sum(len(x & y) >= 0.8 * len(x | y) for k, (_, y) in enumerate(lines) if k != at)
+    out = line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), counts=True)
+    # rows with equal id and text are told apart by nothing, so each shows the links of all of them
+    alike = {}
+    for r, n in zip(rows, want):
+        alike[r] = alike.get(r, 0) + n
+    got = sorted(((r.doc_id, r.n_links) for r in out.collect()), key=repr)
+    assert got == sorted(((r[0], alike[r]) for r in rows), key=repr) and max(want) > 9
+
+
 @pytest.mark.parametrize("words", [2, 3])
 def test_removal_is_the_same_with_and_without_counted_links(spark, monkeypatch, words):
     # chains of small changes: many sets match an earlier one, but not the leader of their group
