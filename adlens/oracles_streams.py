@@ -25,6 +25,7 @@ def statements() -> dict[str, str]:
         "rate_decisions": decisions,
         "rate_decisions_stream": decisions,
         "rate_decisions_late_stream": decisions,
+        "first_deliveries_stream": "SELECT event_id, user_id, event_type, value FROM events",
         "rate_decisions_disabled": """SELECT event_id, CAST(user_id AS VARCHAR) AS key, true AS allowed,
             CAST(0 AS BIGINT) AS remaining, CAST(0 AS BIGINT) AS retry_after_seconds FROM events""",
         "rate_headers": _WALK + """SELECT event_id, '2' AS limit_header, CAST(remaining AS VARCHAR) AS remaining_header,
