@@ -29,6 +29,7 @@ def find_listings(
     ``prefer="url"``: a URL match beats an id match, as in a table scan that collects URL
     matches first. ``prefer="position"``: whichever row comes first in the table. Two
     equality joins against unique keys; an OR condition would compare everything.
+    An empty URL fits the first row without one; a NULL URL and an empty or NULL id fit none.
     """
     pool = table
     if source is not None:
@@ -55,11 +56,16 @@ def find_listings(
     return joined.select(*requests.columns, hit.alias("listing"), matched_by.alias("matched_by"))
 
 
-def resolve(requests: DataFrame, tables: list[tuple[str, DataFrame]], position: str, source: str | None = None) -> DataFrame:
-    """First hit over several tables in order; adds ``listing`` and ``found_in`` (NULL: unresolved)."""
+def resolve(
+    requests: DataFrame, tables: list[tuple[str, DataFrame]], position: str, source: str | None = None, prefer: str = "url"
+) -> DataFrame:
+    """First hit over several tables in order; adds ``listing`` and ``found_in`` (NULL: unresolved).
+
+    The table decides before the kind of match: an id in the first table beats a URL in the second.
+    """
     found = requests
     for i, (_, table) in enumerate(tables):
-        step = find_listings(found, table, position, source)
+        step = find_listings(found, table, position, source, prefer)
         found = step.withColumnRenamed("listing", f"_hit{i}").drop("matched_by")
     names = [name for name, _ in tables]
     listing = F.coalesce(*[F.to_json(f"_hit{i}") for i in range(len(names))])

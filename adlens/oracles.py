@@ -319,6 +319,27 @@ def _ordered_hits() -> dict[str, str]:
     return steps
 
 
+def _position_hits(sources: tuple[int, ...]) -> dict[str, str]:
+    """Per request and source the earliest row with its URL or its id; the first source that has one counts."""
+    key = "rtrim(split_part({0}, '?', 1), '/')"
+    steps = {"asked": _REQUESTS}
+    for i in sources:
+        steps[f"both{i}"] = f"""SELECT a.url, a.wanted_id, b.source_listing_key AS hit, b.first_seen AS place, 'url' AS kind
+            FROM asked a JOIN best b ON {key.format('a.url')} = {key.format('b.url')} WHERE b.source = 'src_{i}'
+          UNION ALL SELECT a.url, a.wanted_id, b.source_listing_key, b.first_seen, 'id'
+            FROM asked a JOIN best b ON a.wanted_id = b.listing_id WHERE b.source = 'src_{i}'"""
+        steps[f"hit{i}"] = f"""SELECT url, wanted_id, arg_min(hit, place) AS hit,
+            CASE WHEN arg_min(hit, place) = arg_min(hit, place) FILTER (kind = 'url')
+              THEN 'url' ELSE 'id' END AS kind
+          FROM both{i} x GROUP BY url, wanted_id"""
+    names = [f"h{i}" for i in sources]
+    joins = " ".join(f"LEFT JOIN hit{i} h{i} ON h{i}.url = a.url AND h{i}.wanted_id = a.wanted_id" for i in sources)
+    where = " ".join(f"WHEN h{i}.hit IS NOT NULL THEN 'src_{i}'" for i in sources)
+    steps["hits"] = f"""SELECT a.url, a.wanted_id, coalesce({", ".join(f"{n}.hit" for n in names)}) AS found_key,
+        coalesce({", ".join(f"{n}.kind" for n in names)}) AS matched_by, CASE {where} END AS found_in FROM asked a {joins}"""
+    return steps
+
+
 def _similar() -> str:
     numeric = ["year", "mileage_km", "power_hp", "engine_capacity_cm3", "price_eur"]
     words = ["make", "model", "version", "fuel_type", "transmission", "body_type", "seller_type"]
@@ -488,6 +509,8 @@ def _core() -> dict[str, str]:
             count(*) FILTER (verdict = 'fair') AS fair, count(*) FILTER (verdict = 'too_high') AS too_high,
             count(*) FILTER (verdict = 'unknown') AS unknown, count(*) AS rows FROM judged GROUP BY 1"""),
         "lookup_by_url_or_id": _with(_BEST, "SELECT * FROM hits", extra=_first_hits()),
+        "lookup_by_position": _with(_BEST, "SELECT url, wanted_id, found_key, matched_by FROM hits", extra=_position_hits((1,))),
+        "lookup_all_sources": _with(_BEST, "SELECT url, wanted_id, found_key, found_in FROM hits", extra=_position_hits((2, 1, 0))),
         "lookup_in_order": _with(_BEST, "SELECT * FROM hits", extra=_ordered_hits()),
         "unresolved_requests": _with(_BEST, "SELECT url, wanted_id FROM hits WHERE found_in IS NULL", extra=_ordered_hits()),
         "history_latest": _with(

@@ -441,6 +441,20 @@ def lookup_by_url_or_id(spark, folder):
     return found.select("url", "wanted_id", F.col(f"listing.{KEY}").alias("found_key"), "matched_by")
 
 
+def lookup_by_position(spark, folder):
+    """Whichever row comes first in the table, by URL or by id, among the ads of one source."""
+    found = lookup.find_listings(_requests(spark, folder), best(spark, folder), dedupe.FIRST_SEEN, source="SRC_1", prefer="position")
+    return found.select("url", "wanted_id", F.col(f"listing.{KEY}").alias("found_key"), "matched_by")
+
+
+def lookup_all_sources(spark, folder):
+    """All tables in turn, the last source first; in each the first row that fits."""
+    data = best(spark, folder)
+    tables = [(f"src_{i}", data.where(F.col("source") == f"src_{i}")) for i in (2, 1, 0)]
+    found = lookup.resolve(_requests(spark, folder), tables, dedupe.FIRST_SEEN, prefer="position")
+    return found.select("url", "wanted_id", F.get_json_object("listing", f"$.{KEY}").alias("found_key"), "found_in")
+
+
 def lookup_in_order(spark, folder):
     """First table, then the second; what neither holds stays unresolved."""
     data = best(spark, folder)
@@ -619,7 +633,7 @@ JOBS = [
     stratified_split, candidate_pools, similar_topk, holdout_metrics, best_model,
     holdout_table, residual_profile, cross_validation,
     ensemble_agreement, ensemble_inverse_mae, ensemble_weights, estimate_spread, price_report,
-    verdict_by_label, lookup_by_url_or_id, lookup_in_order, unresolved_requests, history_latest, history_summary, history_detail, history_delete, mileage_histogram,
+    verdict_by_label, lookup_by_url_or_id, lookup_by_position, lookup_all_sources, lookup_in_order, unresolved_requests, history_latest, history_summary, history_detail, history_delete, mileage_histogram,
     url_keys, page_titles, page_text, page_frontier, search_frontier, site_of_urls,
     slug_keys, document_numbers, title_cased_documents, synthetic_ids, power_and_engine, price_texts,
 ]

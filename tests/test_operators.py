@@ -1,6 +1,7 @@
 """Operators against brute force and hand-computed results on small tables."""
 
 import datetime as dt
+import json
 import random
 from collections import deque
 
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from adlens.operators import admission, dedupe, pricing, similar
+from adlens.operators import admission, dedupe, lookup, pricing, similar
 from adlens.operators.neighbours import nearest
 from adlens.operators.quantiles import exact_quantiles
 from adlens.operators.significance import beta_cdf, chi_square_tail
@@ -159,3 +160,25 @@ def test_match_quality_uses_the_short_list(spark):
     other = same | {"fuel_type": F.lit("lpg"), "transmission": F.lit("x"), "year": F.lit(1990)}
     first = df.select(similar.match_quality(similar.match_reasons(same, same)), similar.match_quality(similar.match_reasons(same, other))).first()
     assert tuple(first) == ("close", "very_close")
+
+
+def test_lookup_takes_tables_in_order_and_rows_by_place(spark):
+    schema = "url string, listing_id string, source string, place bigint"
+    a = spark.createDataFrame([("u1", "1", "A", 0), ("u2", "2", "a", 1), ("u2", "3", "b", 2), (None, None, None, 3)], schema)
+    b = spark.createDataFrame([("u1", "9", "b", 0), ("u9", "8", "b", 1), ("u3/", "2", "b", 2), ("u8", "", "b", 3)], schema)
+    asked = spark.createDataFrame([("u3", "3"), ("u9", "9"), ("u2?from=mail", "1"), (None, None), ("", ""), ("no", "no"), ("u9", "9")], "url string, wanted_id string")
+
+    def found(**options):
+        rows = lookup.resolve(asked, [("a", a), ("b", b)], "place", **options).collect()
+        return sorted(((r.url, r.found_in, json.loads(r.listing)["place"] if r.listing else None) for r in rows), key=repr)
+
+    # the id 3 in the first table beats the URL u3 in the second
+    assert [x for x in found() if not x[1]] == [("no", None, None), (None, None, None)]
+    # an empty URL fits the first row without one
+    assert [x for x in found() if x[1]] == [("", "a", 3), ("u2?from=mail", "a", 1), ("u3", "a", 2), ("u9", "b", 1), ("u9", "b", 1)]
+    # by place the id 1 stands before the URL u2, and the id 9 before the URL u9
+    assert [x for x in found(prefer="position") if x[1]] == [("", "a", 3), ("u2?from=mail", "a", 0), ("u3", "a", 2), ("u9", "b", 0), ("u9", "b", 0)]
+    # only rows of one source, in any case
+    assert [x for x in found(prefer="position", source="B") if x[1]] == [("u2?from=mail", "a", 2), ("u3", "a", 2), ("u9", "b", 0), ("u9", "b", 0)]
+    assert lookup.unresolved(lookup.resolve(asked, [("a", a), ("b", b)], "place")).count() == 2
+    assert lookup.resolve(asked, [("a", a.limit(0))], "place").where("found_in is not null").count() == 0
