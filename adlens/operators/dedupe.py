@@ -25,14 +25,18 @@ def _rank(position: Column) -> Column:
     return F.struct(F.col("completeness_score"), collected_at(F.col("scraped_at")), position)
 
 
+def exact_key() -> Column:
+    """What copies of a listing share."""
+    return F.coalesce(null_if_empty(F.col("dedupe_exact_key")), F.col("source_listing_key"))
+
+
 def keep_best_exact(listings: DataFrame, position: str) -> DataFrame:
     """Best row per exact key; ``position`` orders the input and must have no ties.
 
     Adds the number of copies and the position at which the key was first seen.
     """
     row = F.struct(*[F.col(c) for c in listings.columns])
-    key = F.coalesce(null_if_empty(F.col("dedupe_exact_key")), F.col("source_listing_key"))
-    best = listings.groupBy(key.alias("_key")).agg(
+    best = listings.groupBy(exact_key().alias("_key")).agg(
         F.max_by(row, _rank(F.col(position))).alias("_best"),
         F.min(position).alias(FIRST_SEEN),
         F.count(F.lit(1)).alias(MEMBERS),

@@ -403,6 +403,7 @@ def _core() -> dict[str, str]:
     return {
         "normalize_listings": _with(["raw", "typed", "norm"], f"SELECT {_LISTING} FROM norm"),
         "dedupe_exact": _with(_BEST, f"SELECT {_LISTING}, copies FROM best"),
+        "best_records_stream": _with(_BEST, f"SELECT {_LISTING} FROM best"),
         "dedupe_fuzzy": _with(
             [*_BEST, "near"],
             """SELECT source_listing_key, dedupe_fuzzy_key, price_eur, mileage_km, completeness_score, scraped_at,
@@ -529,6 +530,12 @@ def _core() -> dict[str, str]:
         "history_delete": _with(
             [*_ENSEMBLE, "judged"], """SELECT count(*) FILTER (u <> 7) AS kept, count(*) FILTER (u = 7) AS removed FROM (
               SELECT CAST(regexp_extract(source_listing_key, ':(\\d+)-', 1) AS BIGINT) % 50 AS u FROM judged)"""),
+        "history_table": _with(
+            [*_ENSEMBLE, "judged"], """SELECT u AS user_id, count(*) AS rows, min(created) AS oldest, max(created) AS newest,
+            count(*) FILTER (verdict = 'fair') AS fair, (SELECT count(*) FROM judged
+              WHERE CAST(regexp_extract(source_listing_key, ':(\\d+)-', 1) AS BIGINT) % 50 IN (7, 11)) AS removed
+            FROM (SELECT CAST(regexp_extract(source_listing_key, ':(\\d+)-', 1) AS BIGINT) % 50 AS u, verdict,
+              scraped_at || 'T00:00:00+00:00' AS created FROM judged) WHERE u NOT IN (7, 11) GROUP BY u"""),
         "url_keys": """SELECT page_id, rtrim(split_part(url, '?', 1), '/') AS url_key,
             CASE WHEN regexp_matches(url, '^[^?#]*\\?([^#]*&)?id=\\d+(&|#|$)') THEN regexp_extract(url, '[?&]id=(\\d+)', 1)
               ELSE nullif(regexp_extract(url, '(\\d{6,})', 1), '') END AS listing_id FROM pages""",

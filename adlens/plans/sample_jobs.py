@@ -21,6 +21,7 @@ from adlens.operators.significance import contingency, cramers_table, pearson_ta
 from adlens.plans.scoring import price_reports
 from adlens.schemas import LISTING_COLUMNS
 from adlens.session import checkpoint_folder, cut_lineage
+from adlens.sources import buckets
 from adlens.sources import history as hist
 from adlens.sources.sample_tables import POSITION, raw_listings, spread, table
 
@@ -513,6 +514,23 @@ def history_delete(spark, folder):
     return kept.agg(F.count(F.lit(1)).alias("kept")).select("kept", removed.select("removed").scalar().alias("removed"))
 
 
+def history_table(spark, folder):
+    """Entries are added in two rounds, two accounts are deleted, the table is compacted and read back."""
+    rows = cut_lineage(history(spark, folder))
+    table_path = f"{scratch(spark)}/history"
+    first = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
+    hist.append_history(rows.where(first), table_path)
+    removed = hist.delete_history(spark, table_path, 7)
+    hist.append_history(rows.where(~first), table_path)
+    removed += hist.delete_history(spark, table_path, 7) + hist.delete_history(spark, table_path, 11)
+    buckets.compact(spark, table_path, hist.HISTORY, F.col("user_id"))
+    kept = hist.with_summary(hist.read_history(spark, table_path))
+    return kept.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("created_at").alias("oldest"), F.max("created_at").alias("newest"),
+        F.count_if(F.col("verdict") == "fair").alias("fair"),
+    ).withColumn("removed", F.lit(removed).cast("bigint"))
+
+
 # --- text and URL functions over pages and documents ----------------------------------------
 
 
@@ -633,7 +651,8 @@ JOBS = [
     stratified_split, candidate_pools, similar_topk, holdout_metrics, best_model,
     holdout_table, residual_profile, cross_validation,
     ensemble_agreement, ensemble_inverse_mae, ensemble_weights, estimate_spread, price_report,
-    verdict_by_label, lookup_by_url_or_id, lookup_by_position, lookup_all_sources, lookup_in_order, unresolved_requests, history_latest, history_summary, history_detail, history_delete, mileage_histogram,
+    verdict_by_label, lookup_by_url_or_id, lookup_by_position, lookup_all_sources, lookup_in_order, unresolved_requests, history_latest, history_summary, history_detail, history_delete,
+    history_table, mileage_histogram,
     url_keys, page_titles, page_text, page_frontier, search_frontier, site_of_urls,
     slug_keys, document_numbers, title_cased_documents, synthetic_ids, power_and_engine, price_texts,
 ]

@@ -3,11 +3,12 @@
 import json
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from adlens.operators import models as M
 from adlens.plans.export import export, refresh_comparables
-from adlens.sources import history, listings, pages, snapshots
+from adlens.sources import buckets, history, listings, pages, snapshots
 from adlens.streaming import ingest
 from adlens.streaming.admission import admit_stream
 
@@ -54,8 +55,65 @@ def test_incremental_best_table(spark, tmp_path):
         _write(raw / f"{n}.jsonl", ads)
         stream = ingest.normalize_stream(ingest.read_raw_stream(spark, str(raw)))
         ingest.maintain_best(stream, table, str(tmp_path / "state")).awaitTermination()
-    best = {r.listing_id: r.price_eur for r in snapshots.read_current(spark, table).collect()}
+    best = {r.listing_id: r.price_eur for r in ingest.read_best(spark, table).collect()}
     assert best == {"1": 12.0, "2": 7.0}
+    # the second batch wrote the bucket of its listing and no other
+    versions = [f.split("/")[-2] for f in buckets.folders(spark, table)]
+    assert sorted(versions) == ["batch=000000000000", "batch=000000000001"]
+
+
+def test_batch_that_is_merged_again_changes_nothing(spark, tmp_path):
+    table = str(tmp_path / "best")
+    rows = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "k string, v int")
+    places = buckets.touched(rows, F.col("k"))
+    for _ in range(2):
+        buckets.publish(rows, table, "batch=1", F.col("k"), places)
+    assert sorted(r.v for r in buckets.read(spark, table, rows.schema).collect()) == [1, 2, 3]
+    assert buckets.read(spark, table, rows.schema, before="batch=1").count() == 0
+
+
+def test_buckets_refuse_what_would_lose_rows(spark, tmp_path):
+    table = str(tmp_path / "t")
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    with pytest.raises(ValueError):
+        buckets.publish(rows, table, "v=1", F.col("k"), [buckets.touched(rows.limit(1), F.col("k"))[0]])
+    assert buckets.read(spark, table, rows.schema).count() == 0
+    buckets.publish(rows, table, "v=2", F.col("k"))
+    with pytest.raises(ValueError):
+        buckets.publish(rows, table, "v=3", F.col("k"), buckets=8)
+    # a replaced bucket without rows is empty, the other one stays
+    buckets.publish(rows.limit(0), table, "v=4", F.col("k"), buckets.touched(rows.where("k = 'a'"), F.col("k")))
+    assert [r.k for r in buckets.read(spark, table, rows.schema).collect()] == ["b"]
+
+
+def test_history_table_rewrites_one_bucket(spark, tmp_path):
+    table = str(tmp_path / "history")
+    made = history.history_rows(spark.createDataFrame(
+        [(1, "2024-01-01", "x"), (1, "2024-01-02", "y"), (2, "2024-01-01", "z"), (None, "2024-01-01", "n")],
+        "user_id bigint, created_at string, title string"))
+    history.append_history(made, table)
+    before = set(buckets.folders(spark, table))
+    entry = history.read_history(spark, table, 1).where("title = 'x'").first().id
+    assert history.delete_history(spark, table, 2, entry) == 0
+    assert set(buckets.folders(spark, table)) == before
+    assert history.delete_history(spark, table, 1, entry) == 1
+    assert len(before - set(buckets.folders(spark, table))) == 1
+    history.append_history(made.where("title = 'z'"), table)
+    titles = lambda: sorted(r.title for r in history.read_history(spark, table).collect())
+    assert titles() == ["n", "y", "z", "z"]
+    assert history.delete_history(spark, table, 2) == 2 and history.delete_history(spark, table, 1) == 1
+    assert titles() == ["n"]
+    buckets.compact(spark, table, history.HISTORY, F.col("user_id"))
+    assert titles() == ["n"] and len(buckets.folders(spark, table)) == 1
+
+
+def test_snapshots_are_read_in_the_format_they_were_written(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 'say "a",\nb'), (2, None)], "n int, t string")
+    table = str(tmp_path / "t")
+    for version, fmt in [("v1", "parquet"), ("v2", "csv"), ("v3", "json")]:
+        snapshots.publish(rows, table, version, fmt)
+        got = snapshots.read_current(spark, table, rows.schema)
+        assert sorted((r.n, r.t) for r in got.collect()) == [(1, 'say "a",\nb'), (2, None)]
 
 
 def test_late_events_are_decided_in_their_place(spark, tmp_path):
