@@ -340,7 +340,8 @@ def _position_hits(sources: tuple[int, ...]) -> dict[str, str]:
     return steps
 
 
-def _similar() -> str:
+def _similar(final: str = "SELECT * FROM top") -> str:
+    """Steps after ``best``; ``top`` holds the comparable listings of every listing."""
     numeric = ["year", "mileage_km", "power_hp", "engine_capacity_cm3", "price_eur"]
     words = ["make", "model", "version", "fuel_type", "transmission", "body_type", "seller_type"]
     fits = ", ".join(f"median({c}) OVER (PARTITION BY pool) AS med_{c}" for c in numeric)
@@ -389,13 +390,14 @@ def _similar() -> str:
       FROM q JOIN c ON q.pool = c.pool
       QUALIFY row_number() OVER (PARTITION BY q.source_listing_key ORDER BY round({gaps} + 2 * ({misses}), 9), c.source_listing_key) <= 12),
     others AS (SELECT *, row_number() OVER (PARTITION BY query_key ORDER BY round(d2, 9), similar_key) AS position
-      FROM pairs WHERE query_key <> similar_key AND url <> q_url)
-    SELECT query_key, position, similar_key, title, url, price_eur, year, mileage_km, fuel_type,
+      FROM pairs WHERE query_key <> similar_key AND url <> q_url),
+    top AS (SELECT query_key, position, similar_key, title, url, price_eur, year, mileage_km, fuel_type,
       round_even(least(100, greatest(0, exp(-sqrt(greatest(round(d2, 9), 0)) / 2.2) * 100)), 1) AS similarity_score,
       CASE WHEN list_contains(reasons, 'same model') AND list_contains(reasons, 'mileage within 25k km') THEN 'very_close'
         WHEN len(reasons) >= 3 THEN 'close' ELSE 'broad_match' END AS match_quality,
       array_to_string(reasons, '|') AS match_reasons
-    FROM others WHERE position <= 5"""
+    FROM others WHERE position <= 5)
+    {final}"""
 
 
 def _core() -> dict[str, str]:
@@ -505,6 +507,10 @@ def _core() -> dict[str, str]:
             {r2('final', 'predicted_price_eur')}, {r2('price_eur - final', 'delta_eur')},
             round((price_eur - final) / final * 100, 4) AS delta_percent, verdict, 'weighted_average' AS first_model,
             CAST(5 AS BIGINT) AS estimates, CAST(0 AS BIGINT) AS similar FROM judged"""),
+        "report_with_similar": _with([*_ENSEMBLE, "judged"], "") + _similar(f"""
+            SELECT j.source_listing_key, verdict, {r2('final', 'predicted_price_eur')}, t.position, t.title AS similar_title, t.url AS similar_url,
+              t.price_eur AS similar_price_eur, t.similarity_score, t.match_quality, t.match_reasons
+            FROM judged j LEFT JOIN top t ON t.query_key = j.source_listing_key"""),
         "verdict_by_label": _with(
             [*_ENSEMBLE, "judged"], """SELECT market_price_label, count(*) FILTER (verdict = 'too_low_suspicious') AS too_low_suspicious,
             count(*) FILTER (verdict = 'fair') AS fair, count(*) FILTER (verdict = 'too_high') AS too_high,

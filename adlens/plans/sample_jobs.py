@@ -418,6 +418,21 @@ def price_report(spark, folder):
     )
 
 
+def report_with_similar(spark, folder):
+    """The comparable listings inside every report, one row each."""
+    asked, pool = frame(spark, folder), best(spark, folder).drop(dedupe.FIRST_SEEN)
+    found = price_reports(asked, estimates(spark, folder), ["make", "model", "year"], similar.find_similar(asked, pool))
+    rows = found.select(
+        KEY, "verdict", _r("predicted_price_eur", 2).alias("predicted_price_eur"),
+        F.posexplode_outer("similar_listings").alias("place", "s"),
+    )
+    return rows.select(
+        KEY, "verdict", "predicted_price_eur", (F.col("place") + 1).cast("bigint").alias("position"),
+        F.col("s.title").alias("similar_title"), F.col("s.url").alias("similar_url"), F.col("s.price_eur").alias("similar_price_eur"),
+        "s.similarity_score", "s.match_quality", F.concat_ws("|", "s.match_reasons").alias("match_reasons"),
+    )
+
+
 def verdict_by_label(spark, folder):
     labelled = reports(spark, folder).select("verdict", F.col("normalized_listing.market_price_label").alias("market_price_label"))
     return pricing.verdict_by_label(labelled)
@@ -651,7 +666,7 @@ JOBS = [
     stratified_split, candidate_pools, similar_topk, holdout_metrics, best_model,
     holdout_table, residual_profile, cross_validation,
     ensemble_agreement, ensemble_inverse_mae, ensemble_weights, estimate_spread, price_report,
-    verdict_by_label, lookup_by_url_or_id, lookup_by_position, lookup_all_sources, lookup_in_order, unresolved_requests, history_latest, history_summary, history_detail, history_delete,
+    report_with_similar, verdict_by_label, lookup_by_url_or_id, lookup_by_position, lookup_all_sources, lookup_in_order, unresolved_requests, history_latest, history_summary, history_detail, history_delete,
     history_table, mileage_histogram,
     url_keys, page_titles, page_text, page_frontier, search_frontier, site_of_urls,
     slug_keys, document_numbers, title_cased_documents, synthetic_ids, power_and_engine, price_texts,
