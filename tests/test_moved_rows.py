@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from adlens.operators import lookup
+from adlens.operators import lookup, pricing
+from adlens.plans.scoring import price_reports
+from adlens.sources import buckets
 
 
 def _plan(df):
@@ -34,3 +36,38 @@ def test_lookups_over_many_tables_take_two_joins(spark):
     assert {r.listing for r in by_place.where("wanted_id = '8'").collect()} == {'{"note":"b1"}'}
     one = lookup.find_listings(asked, tables[1][1], "place", columns=["note"])
     assert one.schema["listing"].dataType.fieldNames() == ["note"]
+
+
+def test_metrics_reach_the_estimates_without_moving_them(spark):
+    metrics = spark.createDataFrame([("a", 1.0, 2.0), ("b", 3.0, None)], "model string, rmse double, mae double")
+    rows = spark.createDataFrame(
+        [("k", [("b", 10.0), ("a", 20.0), ("c", 30.0), (None, 5.0)]), ("l", [])],
+        "source_listing_key string, model_estimates array<struct<model string, predicted_price_eur double>>",
+    )
+    found = lookup.estimates_with_metrics(rows, metrics)
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r.source_listing_key: [tuple(e) for e in r.model_estimates] for r in found.collect()}
+    assert got == {"k": [("b", 10.0, 3.0, None), ("a", 20.0, 1.0, 2.0), ("c", 30.0, None, None), (None, 5.0, None, None)], "l": []}
+
+
+def test_reports_of_listings_that_carry_their_estimates(spark):
+    estimate = F.array(pricing.estimate({"model": F.lit("a"), "predicted_price_eur": F.lit(100.0), "mae": F.lit(1.0)}))
+    rows = spark.createDataFrame(
+        [("k", "s", "u", "t", 100.0), ("l", "s", "u", "t", 200.0)],
+        "source_listing_key string, source string, url string, title string, price_eur double",
+    )
+    carried = price_reports(rows.withColumn("model_estimates", estimate), None, ["make"])
+    joined = price_reports(rows, rows.select("source_listing_key", estimate.alias("model_estimates")), ["make"])
+    assert "Join" not in _plan(carried)
+    assert sorted(map(str, carried.collect())) == sorted(map(str, joined.collect())) and carried.count() == 2
+
+
+def test_a_table_is_compacted_without_a_shuffle(spark, tmp_path):
+    table, key = str(tmp_path / "t"), F.col("id")
+    rows = spark.range(200).withColumn("v", F.lit("x"))
+    for i in range(2):
+        buckets.publish(rows.where(key % 2 == i), table, buckets.next_version(spark, table), key, buckets=4)
+    before = len(buckets.folders(spark, table))
+    buckets.compact(spark, table, rows.schema, key, buckets=4)
+    assert before == 8 and len(buckets.folders(spark, table)) == 4
+    assert sorted(r.id for r in buckets.read(spark, table, rows.schema).collect()) == list(range(200))
