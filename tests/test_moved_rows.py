@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from adlens.operators import lookup, pricing
+from adlens.operators import lookup, pricing, significance
 from adlens.plans.scoring import price_reports
 from adlens.sources import buckets
 
@@ -71,3 +71,20 @@ def test_a_table_is_compacted_without_a_shuffle(spark, tmp_path):
     buckets.compact(spark, table, rows.schema, key, buckets=4)
     assert before == 8 and len(buckets.folders(spark, table)) == 4
     assert sorted(r.id for r in buckets.read(spark, table, rows.schema).collect()) == list(range(200))
+
+
+def test_rows_are_not_moved_by_feature(spark):
+    rows = spark.range(500).select(
+        (F.col("id") % 7).cast("string").alias("make"), F.when(F.col("id") % 3 > 0, F.col("id") % 5).cast("string").alias("model"),
+        (F.col("id") * 10.0).alias("price_eur"),
+    )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        counts = significance.contingency(rows, ["make", "model"])
+        plan = counts._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    got = {(r.feature, r.value): r for r in counts.collect()}
+    assert got["make", "0"].rows == 72 and got["model", "4"].rows == 67 and len(got) == 12
+    assert sum(got["make", "3"][f"bin{b}"] for b in range(5)) == got["make", "3"].rows
