@@ -21,9 +21,9 @@ from adlens.llm.common import fresh
 from adlens.session import cut_lineage
 
 BINS = 16
-#: labelled rows and pairs that are learnt from
-MAX_LABELLED = 50_000
+#: pairs that are learnt from at least, and rows of the rarer kind in a slot: the pairs grow with the labelled rows
 PAIRS = 100_000
+IN_SLOT = 2
 ROUNDS = 4
 LIMIT = 0.7
 RIDGE = 1e-3
@@ -51,30 +51,34 @@ class Ranker:
         return 1 / (1 + F.exp(-(self.raw() + shift)))
 
 
-def _pairs(labelled: DataFrame, good: int, bad: int) -> DataFrame:
-    """About PAIRS pairs of a good and a bad row: rows that fall in one slot by hash, several times."""
-    slots = max(1, math.ceil(good * bad * ROUNDS / PAIRS))
+def _pairs(labelled: DataFrame, sizes: list[int], good: int, bad: int) -> DataFrame:
+    """Pairs of a good and a bad row that fall in one slot by hash, several times: PAIRS of them, or more so that
+    every labelled row meets about ROUNDS * IN_SLOT others. ``x`` has the bin of each feature, ``sizes`` their numbers."""
+    slots = max(1, min(math.ceil(good * bad * ROUNDS / PAIRS), min(good, bad) // IN_SLOT))
     spread = labelled.select("id", "good", "x", F.explode(F.sequence(F.lit(1), F.lit(ROUNDS))).alias("round"))
     spread = spread.withColumn("slot", F.pmod(F.xxhash64("id", "round"), F.lit(slots)))
     winner = spread.where("good").select("round", "slot", F.col("x").alias("a"), F.col("id").alias("i"))
     loser = spread.where("not good").select("round", "slot", F.col("x").alias("b"), F.col("id").alias("j"))
     pairs = winner.join(loser, ["round", "slot"])
     turned = F.pmod(F.xxhash64("i", "j"), F.lit(2)) == 1
-    gap = F.zip_with("a", "b", lambda a, b: F.when(turned, b - a).otherwise(a - b))
-    return pairs.select(array_to_vector(gap).alias("features"), F.when(turned, 0.0).otherwise(1.0).alias("label"))
+    first, second = F.when(turned, F.col("b")).otherwise(F.col("a")), F.when(turned, F.col("a")).otherwise(F.col("b"))
+    laid = pairs.select(first.alias("a"), second.alias("b"), F.when(turned, 0.0).otherwise(1.0).alias("label"))
+    hot = lambda side, n, k: (F.get(side, F.lit(n)) == k).cast("double")
+    gap = F.array(*[hot("a", n, k) - hot("b", n, k) for n, size in enumerate(sizes) for k in range(size)])
+    return laid.select(array_to_vector(gap).alias("features"), "label")
 
 
 def learn(labelled: DataFrame, names: list[str]) -> Ranker:
     """Ranker from ``id``, ``good`` and the features. One class or no rows: all weights are 0."""
-    rows = cut_lineage(st.bounded(labelled, "id", MAX_LABELLED).select("id", "good", *names))
+    rows = cut_lineage(labelled.select("id", "good", *names))
     edges = st.quantile_edges(rows, names, BINS)
     count = rows.agg(F.count_if("good"), F.count_if(~F.col("good"))).first()
     good, bad = count[0], count[1]
     sizes = {n: len(edges[n]) + 1 for n in names}
     if not good or not bad:
         return Ranker(edges, {n: [0.0] * sizes[n] for n in names}, 0.0)
-    hot = [(st.bin_of(n, edges[n]) == k).cast("double") for n in names for k in range(sizes[n])]
-    pairs = cut_lineage(_pairs(rows.select("id", "good", F.array(*hot).alias("x")), good, bad))
+    bins = F.array(*[st.bin_of(n, edges[n]) for n in names])
+    pairs = cut_lineage(_pairs(rows.select("id", "good", bins.alias("x")), [sizes[n] for n in names], good, bad))
     fitted = LogisticRegression(fitIntercept=False, regParam=RIDGE, maxIter=60, standardization=False).fit(pairs)
     flat = [float(x) for x in fitted.coefficients.toArray()]
     weights, at = {}, 0
