@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from adlens.operators import lookup, pricing, significance
+from adlens.operators import lookup, markup, pricing, significance
 from adlens.plans.scoring import price_reports
 from adlens.sources import buckets
 
@@ -88,3 +88,22 @@ def test_rows_are_not_moved_by_feature(spark):
     got = {(r.feature, r.value): r for r in counts.collect()}
     assert got["make", "0"].rows == 72 and got["model", "4"].rows == 67 and len(got) == 12
     assert sum(got["make", "3"][f"bin{b}"] for b in range(5)) == got["make", "3"].rows
+
+
+def test_pieces_of_a_detail_page_are_read_once(spark):
+    page = (
+        '<img class="Thumbnail" alt="a &amp; b" src="https://img.classistatic.de/1?x=1&amp;y=2">'
+        '<img class="HeroBanner" alt="" src="https://img.classistatic.de/2">'
+        '<div class="priceRatingBadge_label__x">Guter Preis</div><div data-testid="seller-title-address">'
+        '<a class="DealerScrollLink_x" href="#">Auto <b>A</b></a><div class="MainSellerInfo_address">DE-12345 Bad &amp; Ort</div></div>'
+    )
+    h = F.col("html")
+    pages = spark.createDataFrame([(page,), ("<p>none</p>",), (None,)], "html string")
+    read = pages.select(markup.price_rating(h).alias("rating"), markup.seller_and_city(h).alias("seller"), markup.best_image(h).alias("image"))
+    # a pattern that stands in a plan many times is matched many times for a row
+    plan = pages.select(markup.price_rating(h))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("priceRatingBadge") <= 2
+    rows = read.collect()
+    assert [r.rating for r in rows] == ["Guter Preis", None, None]
+    assert tuple(rows[0].seller) == ("Auto A", "Bad & Ort") and rows[0].image == "https://img.classistatic.de/1?x=1&y=2"
+    assert tuple(rows[1].seller) == (None, None) and rows[1].image is None and rows[2].image is None
