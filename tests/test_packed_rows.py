@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from adlens.operators import dedupe
 from adlens.operators.packed import PACKED, pack, unpack
+from adlens.plans import sample_jobs
+from tests.test_large_tables import _folder
 
 
 def test_odd_values_come_back(spark):
@@ -44,3 +46,24 @@ def test_near_copies_travel_with_the_wanted_columns(spark):
     assert sorted(map(str, narrow.collect())) == sorted(map(str, whole.select(*narrow.columns).collect()))
     assert dedupe.dedupe_report(narrow).collect() == dedupe.dedupe_report(whole).collect()
     assert sorted(r.title for r in whole.collect()) == ["c", "d", "e"]
+
+
+def test_only_the_columns_in_use_are_stored(spark, tmp_path):
+    folder = _folder(spark, tmp_path)
+    place = (spark.sparkContext.applicationId, folder)
+    jobs = [sample_jobs.scoring_payload, sample_jobs.verdict_by_label, sample_jobs.lookup_in_order]
+    narrow = [sorted(map(str, job(spark, folder).collect())) for job in jobs]
+    assert place not in sample_jobs._STORED
+    assert all(len(df.columns) < 15 for name, df in sample_jobs._STORED.items() if name[:2] == place)
+    sample_jobs.best(spark, folder)
+    for name in [n for n in sample_jobs._STORED if n[:2] == place and n != place]:
+        del sample_jobs._STORED[name]
+    assert narrow == [sorted(map(str, job(spark, folder).collect())) for job in jobs]
+
+
+def test_a_wider_stored_table_is_read(spark, tmp_path):
+    folder = _folder(spark, tmp_path)
+    sample_jobs.best(spark, folder, sample_jobs.KEYED)
+    before = len(sample_jobs._STORED)
+    assert sample_jobs.best_priced(spark, folder).columns == sample_jobs.PRICED
+    assert len(sample_jobs._STORED) == before
