@@ -60,3 +60,27 @@ def test_squeeze_leaves_single_blanks_alone(spark):
     assert df.where(~text.squeeze(F.col("x")).eqNullSafe(plainly)).count() == 0
     assert df.select(F.regexp_count("x", F.lit(text._RUN)).alias("n")).where("n > 0").count() < len(texts)
     assert spark.range(1).select(F.regexp_count(F.lit("a b c"), F.lit(text._RUN)).alias("n")).first().n == 0
+
+
+def test_a_section_of_a_page_is_located_once(spark):
+    mark = 'data-testid="vip-key-features-list-item-'
+    pages = [
+        f'é<div {mark}mileage"><h4>x</h4><h4> 10 &amp; km </h4><h4> </h4></div><h4 {mark}power">80 kW</h4>',
+        f'{mark}mileage">no <b>heading</b>{mark}mileage"><h4>later</h4>',
+        f'<p {mark}mileage" {mark}power"><h4>5</h4>', "<p>none</p>", None,
+    ]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, html string")
+    h = F.col("html")
+    made = df.select("i", markup.feature_value(h, "mileage").alias("m"), markup.feature_value(h, "power").alias("p"))
+    # every time the marker stands in the plan the page is searched once more
+    assert _plan(made).count("list-item-mileage") <= 2
+    got = {r.i: (r.m, r.p) for r in made.collect()}
+    assert got == {
+        0: ("10 & km", "80 kW"), 1: ('data-testid="vip-key-features-list-item-mileage">no heading', None),
+        2: ('<p data-testid="vip-key-features-list-item-mileage"', "5"), 3: (None, None), 4: (None, None),
+    }
+    price = df.select("i", markup.text_by_test_id(F.lit('<i data-testid="a">1</i>'), "a", 20).alias("x")).first()
+    assert price.x == "1"
+    seller = '<a data-testid="seller-title-address"><div class="MainSellerInfo_title__x">Haus &amp; Hof</div> DE-12345 Bad Ort'
+    row = spark.createDataFrame([(seller,)], "html string").select(markup.seller_and_city(h).alias("s")).first()
+    assert tuple(row.s) == ("Haus & Hof", "Bad Ort")
